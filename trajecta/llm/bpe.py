@@ -6,11 +6,12 @@ grows with distinct words and not with tokens:
 
 1. one pass over the texts writes, to the shared folder, each text as a list of word indices (its
    positions) and each chunk's word list;
-2. all word lists are shuffled by word; each distinct word is encoded once, where all its uses meet, and
-   its ids go back to the chunks that use it;
+2. all word lists are shuffled by word (in buckets of words, packed and compressed); each distinct word is
+   encoded once, where all its uses meet, and its ids go back to the chunks that use it;
 3. texts and encoded words meet by chunk, and the ids are reassembled by position.
 
-A frequent word has at most one row per chunk, so no key is hot. Decoding looks ids up in the token-byte
+A frequent word is sent at most once per chunk, so no key is hot; the number of buckets follows the
+session's shuffle partitions, so a bucket's words fit in a task. Decoding looks ids up in the token-byte
 table, whose size is the vocabulary's and does not depend on the data.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded each
@@ -85,109 +86,139 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def split_chunks(df: DataFrame, pattern: str, fast: bool, chunk_tokens: int, chunk_words: int) -> DataFrame:
-    """Rows of two kinds: (chunk, doc_id, words) for texts, (chunk, at, word) for the chunk's word list."""
+def pack(values) -> bytes:
+    """Whole numbers below 2**32 as four compressed byte planes; small and frequent numbers take about a byte."""
+    import numpy as np
+
+    planes = np.ascontiguousarray(np.asarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return len(planes[0]).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes):
+    import numpy as np
+
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+
+
+def split_chunks(df: DataFrame, pattern: str, fast: bool, buckets: int, chunk_tokens: int, chunk_words: int) -> DataFrame:
+    """Rows of two kinds. Blocks of texts: (chunk, doc_ids, sizes, packed word indices). Parts of the chunk's
+    word list: (chunk, bucket of the word's crc32, packed steps between indices, packed lengths, compressed words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
         import numpy as np
         from pyspark import TaskContext
 
         split, part, number = Splitter(pattern, fast), TaskContext.get().partitionId(), 0
         words, tokens = WordList(), 0
 
+        def row(**given) -> pa.RecordBatch:
+            given |= {"chunk": (part << 32) | number}
+            return pa.RecordBatch.from_arrays([pa.array([given.get(f.name)], f.type) for f in SPLIT], schema=SPLIT)
+
         def closed() -> Iterator[pa.RecordBatch]:
-            whole = list(words)
-            for i in range(0, len(whole), 50_000):
-                some = whole[i : i + 50_000]
-                yield rows(len(some), at=np.arange(i, i + len(some), dtype=np.int32), word=pa.array(some, pa.string()))
-
-        def rows(n: int, **given) -> pa.RecordBatch:
-            kinds = {"chunk": pa.int64(), "doc_id": pa.int64(), "words": pa.list_(pa.int32()), "at": pa.int32(), "word": pa.string()}
-            given["chunk"] = np.full(n, (part << 32) | number, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds)
-            )
+            whole = [w.encode() for w in words]
+            bucket = np.fromiter(map(zlib.crc32, whole), np.int64, len(whole)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                at = order[start:stop]
+                some = [whole[i] for i in at]
+                yield row(bucket=int(bucket[at[0]]), at=pack(np.diff(at, prepend=0)), sizes=pack([len(w) for w in some]), packed=pa.compress(b"".join(some), codec="zstd", asbytes=True))
 
         for whole in batches:
             for batch in slices(whole, "text", 4_000_000):
                 place, found = words.__getitem__, []
                 for text in batch.column("text").to_pylist():
                     cut = split(text)
-                    found.append(np.fromiter(map(place, cut), np.int32, len(cut)))
-                sizes = np.array([0, *map(len, found)], np.int64).cumsum().astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
-                tokens += int(sizes[-1])
-                yield rows(batch.num_rows, doc_id=batch.column("doc_id").cast(pa.int64()), words=lists)
+                    found.append(np.fromiter(map(place, cut), np.int64, len(cut)))
+                sizes = [len(x) for x in found]
+                tokens += sum(sizes)
+                yield row(doc_ids=batch.column("doc_id").to_pylist(), sizes=pack(sizes), packed=pack(np.concatenate(found)))
                 if tokens >= chunk_tokens or len(words) >= chunk_words:
                     yield from closed()
                     words, tokens, number = WordList(), 0, number + 1
         if words:
             yield from closed()
 
-    return map_arrow(df, run, "chunk long, doc_id long, words array<int>, at int, word string")
+    return map_arrow(df, run, "chunk long, bucket int, doc_ids array<bigint>, at binary, sizes binary, packed binary")
+
+
+SPLIT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("at", pa.binary()), ("sizes", pa.binary()), ("packed", pa.binary())])
 
 
 def encode_words(words: DataFrame, ranks_file, pattern: str) -> DataFrame:
-    """(chunk, at, word) sorted by word within a partition -> (chunk, at, ids); a word is encoded when it is first met."""
+    """Word lists -> (chunk, at, sizes and packed ids). All uses of a word meet in its bucket, which encodes it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import tiktoken
 
-        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_file.value), special_tokens={})
-        last, ids = None, []
+        piece = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(ranks_file.value), special_tokens={})._encode_single_piece
+
+        class Encoded(dict):
+            def __missing__(self, word: bytes) -> list[int]:
+                self[word] = ids = piece(word)
+                return ids
+
+        bucket, known = None, Encoded()
         for batch in batches:
-            lists = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, own._encode_single_piece(word)
-                lists.append(ids)
-            sizes = np.array([0, *map(len, lists)], np.int64).cumsum().astype(np.int32)
-            flat = np.fromiter((i for ids_ in lists for i in ids_), np.int32, int(sizes[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), batch.column("at"), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["chunk", "at", "ids"]
-            )
+            for r in batch.to_pylist():
+                if r["bucket"] != bucket:
+                    bucket, known = r["bucket"], Encoded()
+                ends = np.cumsum(unpack(r["sizes"])).tolist()
+                data = pa.decompress(r["packed"], ends[-1], codec="zstd", asbytes=True)
+                ids = [known[data[i:j]] for i, j in zip([0, *ends], ends, strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["chunk"]]), pa.array([r["at"]]), pa.array([pack([len(x) for x in ids])]), pa.array([pack([i for x in ids for i in x])])],
+                    names=["chunk", "at", "sizes", "packed"],
+                )
 
-    return map_arrow(words.repartition("word").sortWithinPartitions("word"), run, "chunk long, at int, ids array<int>")
+    return map_arrow(words.repartition("bucket").sortWithinPartitions("bucket"), run, "chunk long, at binary, sizes binary, packed binary")
 
 
 def reassemble(docs: DataFrame, words: DataFrame) -> DataFrame:
     """Puts the words' ids back at their positions; both inputs meet by chunk, the word list first."""
-    both = docs.select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("at"), "doc_id", F.col("words").alias("list")).unionByName(
-        words.select("chunk", F.lit(0).alias("kind"), "at", F.lit(None).cast("long").alias("doc_id"), F.col("ids").alias("list"))
+    both = docs.select("chunk", F.lit(1).alias("kind"), "doc_ids", F.lit(None).cast("binary").alias("at"), "sizes", "packed").unionByName(
+        words.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("array<bigint>").alias("doc_ids"), "at", "sizes", "packed")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         chunk, parts, begins, sizes, flat = None, [], None, None, None
+
+        def ids_of(at):
+            n = sizes[at]
+            out = np.concatenate([[0], np.cumsum(n)])
+            return flat[np.repeat(begins[at] - out[:-1], n) + np.arange(out[-1])], out
+
         for batch in batches:
-            key = batch.column("chunk").to_numpy() * 2 + batch.column("kind").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(key)) + 1), batch.num_rows]
-            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
-                if stop == start:
-                    continue
-                run_of = batch.slice(start, stop - start)
-                if int(key[start]) // 2 != chunk:
-                    chunk, parts, begins = int(key[start]) // 2, [], None
-                if int(key[start]) % 2 == 0:
-                    parts.append(run_of.column("list"))
+            for i in range(batch.num_rows):
+                r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if r["chunk"] != chunk:
+                    chunk, parts, begins = r["chunk"], [], None
+                if not r["kind"]:
+                    parts.append((np.cumsum(unpack(r["at"])), unpack(r["sizes"]), unpack(r["packed"]).astype(np.int32)))
                     continue
                 if begins is None:
-                    known = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-                    flat, ends = known.flatten().to_numpy(), np.concatenate([[0], np.cumsum(known.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-                    begins, sizes, parts = ends[:-1], np.diff(ends), []
-                for piece in slices(run_of, "list", 1_000_000):
-                    lists = piece.column("list")
-                    at, edge = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
-                    n = sizes[at]
-                    out = np.concatenate([[0], np.cumsum(n)])
-                    ids = flat[np.repeat(begins[at] - out[:-1], n) + np.arange(out[-1])]
-                    yield pa.RecordBatch.from_arrays(
-                        [piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(out[edge].astype(np.int32)), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"]
-                    )
-
-    return map_arrow(both.repartition("chunk").sortWithinPartitions("chunk", "kind", "at"), run, "doc_id long, ids array<int>")
+                    at, n = (np.concatenate([p[k] for p in parts] or [np.empty(0, np.int64)]) for k in (0, 1))
+                    flat = np.concatenate([p[2] for p in parts] or [np.empty(0, np.int32)])
+                    begins, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                    begins[at], sizes[at], parts = np.cumsum(n) - n, n, []
+                at, edge = unpack(r["packed"]), np.concatenate([[0], np.cumsum(unpack(r["sizes"]))])
+                first = 0
+                while first < len(r["doc_ids"]):
+                    last = max(first + 1, int(np.searchsorted(edge, edge[first] + 500_000, side="right")) - 1)
+                    ids, out = ids_of(at[edge[first] : edge[last]])
+                    ends = out[edge[first : last + 1] - edge[first]]
+                    yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"][first:last], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
+                    first = last
+
+    return map_arrow(both.repartition("chunk").sortWithinPartitions("chunk", "kind"), run, "doc_id long, ids array<int>")
 
 
 def encode(
@@ -205,9 +236,10 @@ def encode(
     with open(vocabulary or own_path, "rb") as file:
         ranks_file = df.sparkSession.sparkContext.broadcast(file.read())
     pattern, fast = pattern or own_pattern, pattern in (None, own_pattern)
-    split = materialise(split_chunks(texts(df, id_col, text_col), pattern, fast, chunk_tokens, chunk_words), "bpe-chunks")
-    words = encode_words(split.where(F.col("word").isNotNull()).select("chunk", "at", "word"), ranks_file, pattern)
-    return reassemble(split.where(F.col("word").isNull()), words)
+    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = materialise(split_chunks(texts(df, id_col, text_col), pattern, fast, buckets, chunk_tokens, chunk_words), "bpe-chunks")
+    words = encode_words(split.where(F.col("bucket").isNotNull()).drop("doc_ids"), ranks_file, pattern)
+    return reassemble(split.where(F.col("bucket").isNull()), words)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
