@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import bpe, language, ngram_join, suffix_dedup, toxicity
+from trajecta.llm import bpe, gif, language, ngram_join, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"))))
 
 
+def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.store(table(spark, sf_dir, "documents")))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_gif": op1_gif,
         "op2_bpe": op2_bpe,
         "op3_language": op3_language,
         "op6_toxicity": op6_toxicity,
