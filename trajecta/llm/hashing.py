@@ -13,8 +13,8 @@ def mixed(h):
 class Hasher:
     """Hashes of all q-grams of a byte block, and of arbitrary runs of it."""
 
-    def __init__(self, q: int, most: int):
-        rng = np.random.default_rng(20)
+    def __init__(self, q: int, most: int, seed: int = 20):
+        rng = np.random.default_rng(seed)
         self.q, self.gram, self.run = q, rng.integers(0, 2**64, 256, np.uint64), rng.integers(0, 2**64, 256, np.uint64)
         self.p = np.uint64(0x9E3779B97F4A7C15)
         self.power = np.cumprod(np.full(most, 0xD6E8FEB86659FD93, np.uint64))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trajecta.llm import bpe, gif, language, ngram_join, suffix_dedup, toxicity
+from trajecta.llm import bpe, chunk_dedup, gif, language, mixing, ngram_join, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +26,26 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(chunk_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
 
@@ -42,11 +55,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_gif": op1_gif,
         "op2_bpe": op2_bpe,
         "op3_language": op3_language,
+        "op4_topk": op4_topk,
         "op6_toxicity": op6_toxicity,
+        "op7_chunk_dedup": op7_chunk_dedup,
         "op8_ngram_join": op8_ngram_join,
+        "op9_mixing": op9_mixing,
         "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk": topk.ORACLE_SQL}

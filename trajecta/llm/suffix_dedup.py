@@ -25,7 +25,7 @@ Contexts and windows of oversized buckets are compared by 128 bits of hash; refi
 
 Defined results: a null text counts as empty; a text shorter than ``length`` loses nothing; a null id
 sorts before all others; repeated rows (same id and text) are one document and get the same result each;
-rows that share an id but not the text are kept apart. Other columns can be carried along with ``keep``.
+rows that share an id but not the text are kept apart, and of two at the same offset one counts as earlier. Other columns can be carried along with ``keep``.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajecta.llm.hashing import Hasher, sliding_minimum
 from trajecta.llm.shared import map_arrow, materialise, slices
 
 LENGTH = 100
@@ -50,50 +51,6 @@ NULL_ID = -(2**63)
 SETTLED, OPEN, OVERSIZED = 0, 1, 2
 
 
-def mixed(h):
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
-    return h ^ (h >> np.uint64(29))
-
-
-class Hasher:
-    """Hashes of all q-grams of a byte block, and of arbitrary runs of it."""
-
-    def __init__(self, q: int, most: int):
-        rng = np.random.default_rng(20)
-        self.q, self.gram, self.run = q, rng.integers(0, 2**64, 256, np.uint64), rng.integers(0, 2**64, 256, np.uint64)
-        self.p = np.uint64(0x9E3779B97F4A7C15)
-        self.power = np.cumprod(np.full(most, 0xD6E8FEB86659FD93, np.uint64))
-        self.inverse = np.cumprod(np.full(most, pow(0xD6E8FEB86659FD93, -1, 2**64), np.uint64))
-
-    def grams(self, buf):
-        """Hash of the q bytes from each position, by doubling."""
-        h, p, width, left = self.gram[buf], self.p, 1, self.q
-        out, done = None, 0
-        while left:
-            if left & 1:
-                n = len(h) - done if out is None else min(len(out), len(h) - done)
-                part = h[done : done + max(n, 0)]
-                out = part if out is None else out[: len(part)] * p + part
-                done += width
-            left >>= 1
-            if left:
-                h, p, width = h[:-width] * p + h[width:], np.uint64(int(p) ** 2 % 2**64), 2 * width
-        return mixed(out)
-
-    def prefix(self, buf):
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.run[buf] * self.power[: len(buf)], dtype=np.uint64)])
-
-    def runs(self, prefix, start, stop):
-        return mixed((prefix[stop] - prefix[start]) * self.inverse[start])
-
-
-def sliding_minimum(v, width: int):
-    w = 1
-    while 2 * w <= width:
-        v, w = np.minimum(v[:-w], v[w:]), 2 * w
-    return np.minimum(v[: len(v) - (width - w)], v[width - w :]) if w < width else v
-
-
 def blocks(batch: pa.RecordBatch, length: int, block: int) -> Iterator[tuple]:
     """(bytes, segment ends, row of each segment, its offset in the text) of about ``block`` bytes each."""
     texts = batch.column("text")
@@ -254,8 +211,10 @@ def settle(rows: DataFrame, length: int, bucket_limit: int, leave_open: bool) ->
                 yield from add(b[-1], d[edge[-2] :], p[edge[-2] :])
         yield from flush(OPEN)
 
-    keyed = rows.repartition(F.coalesce("bucket", "doc_id")).sortWithinPartitions("bucket", "digest", "doc_id", "pos")
-    return map_arrow(keyed, run, "kind int, bucket long, doc_id long, pos long, end long")
+    key = F.coalesce("bucket", "doc_id")
+    # Open contexts need their whole bucket in one task; else equal digests are enough.
+    dealt = rows.repartition(key) if leave_open else rows.repartition(key, F.when(F.col("bucket").isNotNull(), F.col("digest")))
+    return map_arrow(dealt.sortWithinPartitions("bucket", "digest", "doc_id", "pos"), run, "kind int, bucket long, doc_id long, pos long, end long")
 
 
 def merged(begin, end):
@@ -268,9 +227,10 @@ def merged(begin, end):
     return begin[first], end[np.append(first[1:], len(end))[: len(first)] - 1]
 
 
-def to_documents(docs: DataFrame, status: DataFrame, length: int, keep_text: bool) -> DataFrame:
+def to_documents(docs: DataFrame, status: DataFrame, length: int, keep_text: bool, least: int = 0) -> DataFrame:
     """Brings runs and open contexts to their documents. A document without open contexts is finished; else
-    it is returned as it is, with its settled runs, its open contexts' bytes, and its windows in oversized buckets."""
+    it is returned as it is, with its settled runs, its open contexts' bytes, and its windows in oversized buckets.
+    Runs of fewer than ``least`` bytes are kept, unless they are the whole text."""
     has_rest = "rest" in docs.columns
     rest_type = docs.schema["rest"].dataType if has_rest else T.StructType([T.StructField("none", T.IntegerType())])
     null = lambda kind: F.lit(None).cast(kind)
@@ -329,6 +289,9 @@ def to_documents(docs: DataFrame, status: DataFrame, length: int, keep_text: boo
                     begin, end = np.append(begin, pos[done] >> 32), np.append(end, ends[done].astype(np.int64))
                     unsettled = ~done
                 begin, end = merged(begin, end)
+                if least:
+                    long = (end - begin >= least) | (end - begin == len(text))
+                    begin, end = begin[long], end[long]
                 own = {"doc_id": doc, "tag": tag, "spans": np.stack([begin, end], 1).ravel().tolist(), "rest": batch.column("rest").slice(at, 1)}
                 if unsettled is None or not unsettled.any():
                     edges = [0, *own["spans"], len(text)]
@@ -427,6 +390,25 @@ def refine(contexts: DataFrame, length: int, block: int) -> DataFrame:
     return map_arrow(contexts.repartition("bucket").sortWithinPartitions("bucket"), run, "kind int, bucket long, doc_id long, pos long, end long")
 
 
+def prepared(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """Documents as the functions here take them: id, 16 bits of the text's hash, bytes, no settled runs, columns to carry."""
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return df.select(
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
+        F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"),
+        text.alias("text"),
+        F.array().cast("array<long>").alias("spans"),
+        *([F.struct(*(F.col(c) for c in keep)).alias("rest")] if keep else []),
+    )
+
+
+def finished(rows: DataFrame, keep: tuple[str, ...], keep_text: bool) -> DataFrame:
+    return rows.select(
+        F.when(F.col("doc_id") != F.lit(NULL_ID), F.col("doc_id")).alias("doc_id"),
+        "n_bytes", "n_removed", "spans", "kept_sha256", *([F.col("text").alias("kept")] if keep_text else []), *(F.col(f"rest.`{c}`").alias(c) for c in keep),
+    )
+
+
 def dedup(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -442,14 +424,7 @@ def dedup(
     with ``keep_text`` also ``kept`` (bytes), with ``keep`` those columns of the input."""
     if not 1 <= q <= length:
         raise ValueError("q must be from 1 to length")
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    docs = df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"),
-        text.alias("text"),
-        F.array().cast("array<long>").alias("spans"),
-        *([F.struct(*(F.col(c) for c in keep)).alias("rest")] if keep else []),
-    )
+    docs = prepared(df, id_col, text_col, keep)
     status = settle(make_contexts(docs.select("doc_id", "tag", "text"), length, q, block), length, bucket_limit, leave_open=True)
     found = materialise(to_documents(docs, status, length, keep_text), "suffix-documents")
     runs = refine(found.where("kind = 2").select("bucket", "doc_id", "pos", "text"), length, block).unionByName(
@@ -457,13 +432,7 @@ def dedup(
     )
     rest = ["rest"] if keep else []
     ended = to_documents(found.where("kind = 1").select("doc_id", "tag", "text", "spans", *rest), runs, length, keep_text)
-    return (
-        found.where("kind = 0").unionByName(ended)
-        .select(
-            F.expr(f"nullif(doc_id, {NULL_ID + 1} - 1)").alias("doc_id"), "n_bytes", "n_removed", "spans", "kept_sha256",
-            *([F.col("text").alias("kept")] if keep_text else []), *(F.col(f"rest.`{c}`").alias(c) for c in keep),
-        )
-    )
+    return finished(found.where("kind = 0").unionByName(ended), keep, keep_text)
 
 
 def digests(found: DataFrame) -> DataFrame:
