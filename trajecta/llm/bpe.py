@@ -86,12 +86,16 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def squeezed(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+
+
 def pack(values) -> bytes:
     """Whole numbers below 2**32 as four compressed byte planes; small and frequent numbers take about a byte."""
     import numpy as np
 
     planes = np.ascontiguousarray(np.asarray(values, np.uint32).view(np.uint8).reshape(-1, 4).T)
-    return len(planes[0]).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return len(planes[0]).to_bytes(4, "little") + squeezed(planes.tobytes())
 
 
 def unpack(data: bytes):
@@ -102,6 +106,23 @@ def unpack(data: bytes):
     return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
 
 
+def pack_ranks(ranks) -> bytes:
+    """Numbers of which most are small: a compressed byte each, and those from 255 on in a list of their own."""
+    import numpy as np
+
+    small = squeezed(np.minimum(ranks, 255).astype(np.uint8).tobytes())
+    return len(ranks).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + pack(ranks[ranks >= 255] - 255)
+
+
+def unpack_ranks(data: bytes):
+    import numpy as np
+
+    n, end = int.from_bytes(data[:4], "little"), 8 + int.from_bytes(data[4:8], "little")
+    ranks = np.frombuffer(pa.decompress(data[8:end], n, codec="zstd", asbytes=True) if n else b"", np.uint8).astype(np.int64)
+    ranks[ranks == 255] += unpack(data[end:])
+    return ranks
+
+
 def split_chunks(df: DataFrame, pattern: str, fast: bool, buckets: int, chunk_tokens: int, chunk_words: int) -> DataFrame:
     """Rows of two kinds. Blocks of texts: (chunk, doc_ids, sizes, packed word indices). Parts of the chunk's
     word list: (chunk, bucket of the word's crc32, packed steps between indices, packed lengths, compressed words)."""
@@ -114,34 +135,42 @@ def split_chunks(df: DataFrame, pattern: str, fast: bool, buckets: int, chunk_to
 
         split, part, number = Splitter(pattern, fast), TaskContext.get().partitionId(), 0
         words, tokens = WordList(), 0
+        held: list[tuple] = []  # the chunk's blocks, until its words are counted
 
         def row(**given) -> pa.RecordBatch:
             given |= {"chunk": (part << 32) | number}
             return pa.RecordBatch.from_arrays([pa.array([given.get(f.name)], f.type) for f in SPLIT], schema=SPLIT)
 
         def closed() -> Iterator[pa.RecordBatch]:
+            """The chunk's rows, words numbered by falling frequency."""
+            count = np.bincount(np.concatenate([h[2] for h in held]), minlength=len(words))
+            by_rank = np.argsort(-count, kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[by_rank] = np.arange(len(words))
+            for ids, sizes, at in held:
+                yield row(doc_ids=ids, sizes=pack(sizes), packed=pack_ranks(rank[at]))
             whole = [w.encode() for w in words]
             bucket = np.fromiter(map(zlib.crc32, whole), np.int64, len(whole)) % buckets
-            order = np.argsort(bucket, kind="stable")
+            order = by_rank[np.argsort(bucket[by_rank], kind="stable")]
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
             for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
                 at = order[start:stop]
                 some = [whole[i] for i in at]
-                yield row(bucket=int(bucket[at[0]]), at=pack(np.diff(at, prepend=0)), sizes=pack([len(w) for w in some]), packed=pa.compress(b"".join(some), codec="zstd", asbytes=True))
+                yield row(bucket=int(bucket[at[0]]), at=pack(np.diff(rank[at], prepend=0)), sizes=pack([len(w) for w in some]), packed=squeezed(b"".join(some)))
 
         for whole in batches:
             for batch in slices(whole, "text", 4_000_000):
                 place, found = words.__getitem__, []
                 for text in batch.column("text").to_pylist():
                     cut = split(text)
-                    found.append(np.fromiter(map(place, cut), np.int64, len(cut)))
+                    found.append(np.fromiter(map(place, cut), np.int32, len(cut)))
                 sizes = [len(x) for x in found]
                 tokens += sum(sizes)
-                yield row(doc_ids=batch.column("doc_id").to_pylist(), sizes=pack(sizes), packed=pack(np.concatenate(found)))
+                held.append((batch.column("doc_id").to_pylist(), sizes, np.concatenate(found)))
                 if tokens >= chunk_tokens or len(words) >= chunk_words:
                     yield from closed()
-                    words, tokens, number = WordList(), 0, number + 1
-        if words:
+                    words, tokens, number, held = WordList(), 0, number + 1, []
+        if held:
             yield from closed()
 
     return map_arrow(df, run, "chunk long, bucket int, doc_ids array<bigint>, at binary, sizes binary, packed binary")
@@ -209,7 +238,7 @@ def reassemble(docs: DataFrame, words: DataFrame) -> DataFrame:
                     flat = np.concatenate([p[2] for p in parts] or [np.empty(0, np.int32)])
                     begins, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                     begins[at], sizes[at], parts = np.cumsum(n) - n, n, []
-                at, edge = unpack(r["packed"]), np.concatenate([[0], np.cumsum(unpack(r["sizes"]))])
+                at, edge = unpack_ranks(r["packed"]), np.concatenate([[0], np.cumsum(unpack(r["sizes"]))])
                 first = 0
                 while first < len(r["doc_ids"]):
                     last = max(first + 1, int(np.searchsorted(edge, edge[first] + 500_000, side="right")) - 1)
@@ -266,10 +295,11 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -
     return map_arrow(df, run, f"{fields}, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what encode and decode returned."""
+def digests(decoded: DataFrame, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of what encode and decode returned, with ``keep_ids`` also ``ids``."""
     return decoded.select(
         "doc_id",
+        *(["ids"] if keep_ids else []),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
