@@ -80,8 +80,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, learn: Colu
     return train([bytes(r.bits) for r in rows], [r.label for r in rows], landmarks, ridge) if rows else ([], np.zeros((1 << BITS, 0), np.float32))
 
 
-def predict(docs: DataFrame, id_col: str, text_col: str, model: tuple[list[str], np.ndarray], sizes: tuple[int, ...] = SIZES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row, with ``keep`` also those columns. The score is the best
+def predict(docs: DataFrame, id_col: str, text_col: str, model: tuple[list[str], np.ndarray], sizes: tuple[int, ...] = SIZES, keep: tuple[str, ...] = (), id_name: str = "doc_id") -> DataFrame:
+    """``doc_id`` (or ``id_name``), ``lang_pred, score`` of every row, with ``keep`` also those columns. The score is the best
     regression output, cut to 0..1."""
     names, weights = model
     shared = docs.sparkSession.sparkContext.broadcast((names, np.concatenate([weights, np.ones((1 << BITS, 1), np.float32)], 1)))
@@ -109,9 +109,9 @@ def predict(docs: DataFrame, id_col: str, text_col: str, model: tuple[list[str],
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     if not keep:
-        return map_arrow(rows, run, f"doc_id {kind}, lang_pred string, score double")
+        return map_arrow(rows, run, f"doc_id {kind}, lang_pred string, score double").withColumnRenamed("doc_id", id_name)
     scored = map_arrow(rows, run, f"doc_id {kind}, lang_pred string, score double, rest {rows.schema['rest'].dataType.simpleString()}")
-    return scored.select("doc_id", "lang_pred", "score", *(F.col(f"rest.`{c}`").alias(c) for c in keep))
+    return scored.select(F.col("doc_id").alias(id_name), "lang_pred", "score", *(F.col(f"rest.`{c}`").alias(c) for c in keep))
 
 
 def identify(

@@ -6,7 +6,9 @@ executors share; a machine-local folder is taken only where that setting is miss
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,19 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/trajecta-{spark.sparkContext.applicationId}"
 
 
+_made = threading.local()
+
+
+@contextlib.contextmanager
+def collected() -> Iterator[list[str]]:
+    """Lists the working tables that this thread makes meanwhile, so that they can be deleted when their readers are done."""
+    outer, _made.tables = getattr(_made, "tables", None), []
+    try:
+        yield _made.tables
+    finally:
+        _made.tables = outer
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns a scan of it: lineage ends there, so a lost executor
     costs a re-read and nothing is computed twice when several branches use the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (tables := getattr(_made, "tables", None)) is not None:
+        tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Deletes the application's working tables; results read from them must have been written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def delete(spark: SparkSession, tables: list[str]) -> None:
+    """Deletes working tables; results read from them must have been written before."""
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
