@@ -34,6 +34,8 @@ from trajecta.llm.shared import map_arrow, materialise, slices, texts
 #: A chunk is closed when it reaches either bound; both keep a task's memory fixed.
 CHUNK_TOKENS = 8_000_000
 CHUNK_WORDS = 400_000
+#: Bytes of text in a block, the unit that is packed.
+BLOCK_BYTES = 16_000_000
 #: Characters below this have a compiled class of their own in the fast splitter.
 FAST_BELOW = 0x250
 
@@ -87,7 +89,11 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def squeezed(data: bytes) -> bytes:
-    return pa.Codec("zstd", compression_level=6).compress(data, asbytes=True)
+    """zstd with a window as large as a block, so that repeated texts and passages of a block cost little."""
+    import zstandard
+
+    parameters = zstandard.ZstdCompressionParameters.from_level(6, window_log=24, enable_ldm=True)
+    return zstandard.ZstdCompressor(compression_params=parameters).compress(data)
 
 
 def pack(values) -> bytes:
@@ -159,7 +165,7 @@ def split_chunks(df: DataFrame, pattern: str, fast: bool, buckets: int, chunk_to
                 yield row(bucket=int(bucket[at[0]]), at=pack(np.diff(rank[at], prepend=0)), sizes=pack([len(w) for w in some]), packed=squeezed(b"".join(some)))
 
         for whole in batches:
-            for batch in slices(whole, "text", 4_000_000):
+            for batch in slices(whole, "text", BLOCK_BYTES):
                 place, found = words.__getitem__, []
                 for text in batch.column("text").to_pylist():
                     cut = split(text)
