@@ -135,13 +135,14 @@ def template_features(splits: dict[str, DataFrame], label: str = "target", label
     rest = made.where(F.col("split") != labelled).withColumn("fold", F.lit(-1))
     stats = ["pos_count", "neg_count", "target_mean", "target_std", "label_entropy"]
     everyone = train.unionByName(rest.select(*train.columns))
-    out = everyone.select("id", "split", "fold", "target", *HASHES)
+    out = everyone.select("id", "split")
     for h in HASHES:
         counts = encode.hash_counts(everyone, h, "split", list(splits))
-        out = encode.null_safe(out, counts.withColumnsRenamed({c: f"{h}_{c}" for c in counts.columns if c != h}), [h])
-        # rows without a label are in a fold of their own, so the other folds are the whole labelled split
-        out = encode.out_of_fold_stats(out, h, "target").withColumnsRenamed({s: f"{h}_{s}" for s in stats})
-    return out.drop("fold", "target", *HASHES)
+        # rows without a label are in a fold of their own, so the other folds are the whole labelled split;
+        # each block starts from the base table, so the plan grows by one block a hash
+        block = encode.null_safe(encode.out_of_fold_stats(everyone.select("id", "fold", "target", h), h, "target"), counts, [h])
+        out = out.join(block.select("id", *(F.col(c).alias(f"{h}_{c}") for c in [*(c for c in counts.columns if c != h), *stats])), "id")
+    return out
 
 
 def reduced(df: DataFrame, columns: list[str], k: int = 16, prefix: str = "pca") -> DataFrame:
