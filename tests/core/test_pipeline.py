@@ -32,9 +32,9 @@ def test_train_and_predict(spark, tmp_path):
     assert sum((got[i] > 0.5) == bool(i % 2) for i in got) >= 15
 
 
-def test_template_features(spark):
+def test_template_features(spark, tmp_path):
     splits = {"train": table(spark, 12, 1, "train"), "test": table(spark, 6, 2, "test").withColumn("id", F.col("id") + 100)}
-    out = pipeline.template_features(splits, folds=3)
+    out = pipeline.template_features(splits, folds=3, folder=f"{tmp_path}/cache")
     rows = out.collect()
     assert len(rows) == 18 and len(out.columns) == 2 + 6 * (3 + 5)
     assert all(r.dir_hash_count_all == r.dir_hash_count_train + r.dir_hash_count_test for r in rows)

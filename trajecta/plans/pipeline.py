@@ -126,11 +126,13 @@ def train_and_predict(train: DataFrame, test: DataFrame, path: str, **options) -
     return model
 
 
-def template_features(splits: dict[str, DataFrame], label: str = "target", labelled: str = "train", folds: int = FOLDS) -> DataFrame:
+def template_features(splits: dict[str, DataFrame], label: str = "target", labelled: str = "train", folds: int = FOLDS, folder: str | None = None) -> DataFrame:
     """Template block of all splits (normalised sessions): per hash its counts by split and label statistics, out of fold on the
-    labelled split. One name for every split: ``<hash>_count_*`` and ``<hash>_<statistic>``."""
+    labelled split. One name for every split: ``<hash>_count_*`` and ``<hash>_<statistic>``. With ``folder`` the hashes are
+    cached there; without it each hash's block reads the sessions again."""
     rows = encode.union_splits(splits)
     made = sessions.artifacts(rows).select("id", *HASHES).join(rows.select("id", "split", F.col(label).alias("target")), "id")
+    made = cached(made, folder, {"features": "template"}) if folder else made
     train = encode.stratified_folds(made.where(F.col("split") == labelled), "id", "target", folds)
     rest = made.where(F.col("split") != labelled).withColumn("fold", F.lit(-1))
     stats = ["pos_count", "neg_count", "target_mean", "target_std", "label_entropy"]

@@ -65,13 +65,14 @@ def write_vectors(df: DataFrame, path: str) -> None:
 
 def cached(df: DataFrame, folder: str, parameters: dict, inputs: str = "") -> DataFrame:
     """``df`` from a Parquet cache whose name is a digest of the schema, the parameters and the input's version
-    (for files their paths, sizes and times), so a stale cache is never read."""
+    (for files their paths, sizes and times, else the plan's hash), so a stale cache is never read."""
     spark = df.sparkSession
     sizes = []
     for name in sorted(df.inputFiles()):
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         sizes.append([name, status.getLen(), status.getModificationTime()])
+    sizes = sizes or [df.semanticHash()]
     key = hashlib.sha256(json.dumps([df.schema.json(), parameters, inputs, sizes], sort_keys=True, default=str).encode()).hexdigest()[:32]
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{key}/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
