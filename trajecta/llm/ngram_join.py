@@ -41,7 +41,7 @@ BRANCHES, INNER_BRANCHES = 2, 3
 DEPTH = 3
 #: Sampling orders that inner splits choose from.
 INNER_ORDERS = 18
-LEAF_SETS, BLOCK_SETS, BLOCK_SHINGLES = 2000, 4096, 4_000_000
+LEAF_SETS, BLOCK_SETS, BLOCK_SHINGLES = 2000, 2048, 2_000_000
 SHINGLE_BITS = np.uint64(40)
 NULL_ID = -(2**63)
 PIECE = 2_000_000

@@ -324,7 +324,7 @@ def to_documents(docs: DataFrame, status: DataFrame, length: int, keep_text: boo
             yield from settled_windows()
 
     both = left.unionByName(right).repartition("doc_id").sortWithinPartitions("doc_id", "tag", "kind", "pos")
-    return both.mapInArrow(run, schema)
+    return map_arrow(both, run, schema)
 
 
 def refine(contexts: DataFrame, length: int, block: int) -> DataFrame:
