@@ -86,7 +86,7 @@ def make_chunks(df: DataFrame, reach: int, block: int) -> DataFrame:
                 doc, tag = batch.column("doc_id").to_numpy()[text], batch.column("tag").to_numpy()[text]
                 pos = suffix_dedup.packed_pos(start, size, tag)
                 order, new = suffix_dedup.firsts(one, two, doc, pos)
-                first = order[new]
+                first = np.sort(order[new])  # in the order of texts, whose ids then compress well in the shuffle
                 yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (one, two, doc, pos)], names=["bucket", "digest", "doc_id", "pos"])
                 later = np.sort(order[~suffix_dedup.same_place(new, doc[order], pos[order])])
                 yield from suffix_dedup.settled(doc[later], tag[later], start[later], (start + size)[later])

@@ -118,7 +118,7 @@ def make_contexts(df: DataFrame, length: int, q: int, block: int) -> DataFrame:
                     bucket, digest = grams[anchor[start]].view(np.int64), hasher.runs(hasher.prefix(buf), start, stop).view(np.int64)
                     pos = packed_pos(begin, n - length, tag)
                     order, new = firsts(bucket, digest, doc, pos)
-                    first = order[new]
+                    first = np.sort(order[new])  # in the order of texts, whose ids then compress well in the shuffle
                     yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (bucket, digest, doc, pos)], names=["bucket", "digest", "doc_id", "pos"])
                     later = np.sort(order[~same_place(new, doc[order], pos[order])])
                     yield from settled(doc[later], tag[later], begin[later], begin[later] + n[later])
