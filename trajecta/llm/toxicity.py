@@ -25,10 +25,12 @@ from trajecta.llm.shared import crc_of_id, map_arrow, slices, texts
 
 SIZES = (3, 4, 5)
 BITS = 22
-PER_CLASS = 2500
-FEATURES = 40_000
+PER_CLASS = 2000
+FEATURES = 15_000
 #: Texts that an n-gram must be in to be a feature.
 LEAST_TEXTS = 4
+#: Gradient steps of the regression.
+STEPS = 1000
 
 
 def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,26 +41,27 @@ def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def train(rows: list[tuple[int, np.ndarray]], share: float) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, intercept) from (label, distinct buckets) rows; ``share`` is that of label 1."""
     labels = np.array([label for label, _ in rows], np.float64)
-    bucket, text = np.concatenate([b for _, b in rows]), np.repeat(np.arange(len(rows)), [len(b) for _, b in rows])
-    positive = np.bincount(bucket[labels[text] == 1], minlength=1 << BITS).astype(np.float64)
-    negative = np.bincount(bucket[labels[text] == 0], minlength=1 << BITS).astype(np.float64)
+    texts_of = np.zeros((2, 1 << BITS), np.int32)
+    for label, bucket in rows:
+        texts_of[label, bucket] += 1
+    known = np.flatnonzero(texts_of.sum(0) >= LEAST_TEXTS)
     n1, n0 = labels.sum(), (1 - labels).sum()
-    p, q = (positive + 0.5) / (n1 + 1), (negative + 0.5) / (n0 + 1)
+    p, q = (texts_of[1, known] + 0.5) / (n1 + 1), (texts_of[0, known] + 0.5) / (n0 + 1)
     ratio = np.log(p / q)
-    gain = np.where(positive + negative >= LEAST_TEXTS, np.abs(ratio) * np.abs(p - q), 0)
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    chosen = chosen[gain[chosen] > 0]
-    number = np.full(1 << BITS, -1, np.int64)
+    gain = np.abs(ratio) * np.abs(p - q)
+    best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
+    best = best[gain[best] > 0]
+    chosen, scale = known[best], ratio[best]
+    number = np.full(1 << BITS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
-    hit = number[bucket] >= 0
-    column, row = number[bucket[hit]], text[hit]
-    scale = ratio[chosen]
+    columns = [c[c >= 0] for c in (number[bucket] for _, bucket in rows)]
+    row, column = np.repeat(np.arange(len(rows)), [len(c) for c in columns]), np.concatenate(columns)
     # logistic regression on presence * ratio, balanced classes, by accelerated gradient steps
     w, b, v, vb = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen)), 0.0
     balance = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
     norm = np.bincount(row, scale[column] ** 2, len(rows)).max() if len(row) else 1.0
     step = 4.0 / (norm + 1)
-    for k in range(400):
+    for k in range(STEPS):
         yw, yb = w + k / (k + 3) * (w - v), b + k / (k + 3) * (b - vb)
         z = np.bincount(row, (yw * scale)[column], len(rows)) + yb
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance
@@ -88,8 +91,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([int(batch.column("label")[i].as_py())]), pa.array([bucket.astype(np.int32).tobytes()])], names=["doc_id", "label", "buckets"])
 
     got = map_arrow(found, run, "doc_id long, label long, buckets binary").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "label", "buckets")), strict=True))
-    rows = [(label, np.frombuffer(data, np.int32).astype(np.int64)) for _, label, data in rows]
+    order = np.lexsort((got.column("label").to_numpy(), got.column("doc_id").to_numpy()))
+    column, label = got.column("buckets"), got.column("label").to_numpy()
+    rows = [(int(label[i]), np.frombuffer(column[int(i)].as_buffer(), np.int32)) for i in order]
     if len({label for label, _ in rows}) < 2:
         return *none, math.log(share / (1 - share))
     return train(rows, share)
