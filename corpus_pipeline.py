@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from trajecta.llm import bpe, language, mixing, ngram_join, shared, suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents of known languages score about 1; below this a text is like none of the languages learned.
+#: Long documents of known languages score about 1, but scores shrink with a text's n-gram count. A text is like none of the
+#: languages learned only if its score is below this and also too few of its n-grams occur in them, which doesn't depend on length.
 LEAST_SCORE = 0.2
+#: Share of a text's n-grams that a landmark has: 0.9 or more in short clean texts, about 0.3 (hash collisions) in other scripts.
+LEAST_KNOWN = 0.5
 
 _working = threading.local()
 
@@ -40,7 +43,7 @@ def identify_language(docs: DataFrame) -> DataFrame:
     learn = ~F.coalesce(shared.crc_of_id() % 4 == 2, F.lit(False))
     model = language.fit(docs, "doc_id", "text", "lang", learn, language.SIZES, language.PER_LANGUAGE, language.LANDMARKS, language.RIDGE)
     found = language.predict(docs.withColumn("id", F.col("doc_id")), "id", "text", model, keep=COLUMNS, id_name="id")
-    accepted = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    accepted = found.where((F.col("lang_pred") != language.UNKNOWN) & ((F.col("score") >= LEAST_SCORE) | (F.col("known") >= LEAST_KNOWN)))
     return accepted.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

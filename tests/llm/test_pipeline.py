@@ -66,3 +66,14 @@ def test_stages_keep_the_columns_and_take_an_empty_table(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == list(corpus_pipeline.COLUMNS)
         assert out.count() == 0
+
+
+def test_language_stage_keeps_short_clean_texts(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = sorted({(" ".join(r.text.split()[:k]), r.lang) for r in docs.where("n_chars > 200 and doc_id < 100").collect() for k in range(1, 6)})
+    words = [(t, lang) for t, lang in words if any(c.isalpha() for c in t)] + [("Avec.", "fr"), ("A.\nAll rights reserved.", "en")]
+    strange = ["Привет, как дела сегодня у вас дома?", "今日は天気がいいですね。明日も晴れるでしょう", " 12 ?"]
+    rows = [(9_000_000 + k, t, None, "src0", len(t)) for k, (t, _) in enumerate(words)] + [(9_500_000 + k, t, None, "src0", len(t)) for k, t in enumerate(strange)]
+    out = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), str(tmp_path))
+    kept = {r.doc_id for r in out.where("doc_id >= 9000000").collect()}
+    assert kept == {9_000_000 + k for k in range(len(words))}

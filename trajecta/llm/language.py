@@ -81,10 +81,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, learn: Colu
 
 
 def predict(docs: DataFrame, id_col: str, text_col: str, model: tuple[list[str], np.ndarray], sizes: tuple[int, ...] = SIZES, keep: tuple[str, ...] = (), id_name: str = "doc_id") -> DataFrame:
-    """``doc_id`` (or ``id_name``), ``lang_pred, score`` of every row, with ``keep`` also those columns. The score is the best
-    regression output, cut to 0..1."""
+    """``doc_id`` (or ``id_name``), ``lang_pred, score`` of every row, with ``keep`` also those columns and ``known``. The score is the best
+    regression output, cut to 0..1; it falls with a text's n-gram count. ``known`` is the share of a text's n-grams that a landmark has."""
     names, weights = model
-    shared = docs.sparkSession.sparkContext.broadcast((names, np.concatenate([weights, np.ones((1 << BITS, 1), np.float32)], 1)))
+    extra = [weights.any(1, keepdims=True).astype(np.float32)] if keep else []
+    shared = docs.sparkSession.sparkContext.broadcast((names, np.concatenate([weights, *extra, np.ones((1 << BITS, 1), np.float32)], 1)))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in keep)).alias("rest") if keep else F.lit(0).alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,21 +98,21 @@ def predict(docs: DataFrame, id_col: str, text_col: str, model: tuple[list[str],
                     batch = part.slice(start, 128)
                     found = batch.column("text").to_pylist()
                     sums = presence(found, sizes).astype(np.float32) @ weights
-                    output = sums[:, :-1] / np.sqrt(np.maximum(sums[:, -1:], 1))
+                    output = sums[:, : len(names)] / np.sqrt(np.maximum(sums[:, -1:], 1))
                     known = np.array([bool(names) and letter(t) is not None for t in found], bool)
                     best = output.argmax(1) if names else np.zeros(len(found), np.int64)
                     score = np.clip(output.max(1), 0, 1).astype(np.float64) if names else np.zeros(len(found))
                     lang = pa.array([names[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], pa.string())
                     columns = {"doc_id": batch.column("doc_id"), "lang_pred": lang, "score": pa.array(np.where(known, score, 0.0))}
                     if keep:
-                        columns |= {"rest": batch.column("rest")}
+                        columns |= {"rest": batch.column("rest"), "known": pa.array((sums[:, -2] / np.maximum(sums[:, -1], 1)).astype(np.float64))}
                     yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     if not keep:
         return map_arrow(rows, run, f"doc_id {kind}, lang_pred string, score double").withColumnRenamed("doc_id", id_name)
-    scored = map_arrow(rows, run, f"doc_id {kind}, lang_pred string, score double, rest {rows.schema['rest'].dataType.simpleString()}")
-    return scored.select(F.col("doc_id").alias(id_name), "lang_pred", "score", *(F.col(f"rest.`{c}`").alias(c) for c in keep))
+    scored = map_arrow(rows, run, f"doc_id {kind}, lang_pred string, score double, rest {rows.schema['rest'].dataType.simpleString()}, known double")
+    return scored.select(F.col("doc_id").alias(id_name), "lang_pred", "score", "known", *(F.col(f"rest.`{c}`").alias(c) for c in keep))
 
 
 def identify(
