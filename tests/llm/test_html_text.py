@@ -39,3 +39,19 @@ def test_rows(spark):
     rows = html_text.main_text(df).collect()
     assert sorted(map(tuple, rows), key=str) == sorted([(1, "u", PROSE + "é", len(PROSE) + 1)] * 2 + [(None, None, "", 0)], key=str)
     assert html_text.main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><div><div>{PROSE * 6}</div><div>{PROSE}</div></div></body>", f"{PROSE * 6}\n{PROSE}"),
+        (f"<body><div><div class=a><h2>Head</h2><p>{PROSE * 6}</p></div><div class=b><p>{PROSE}</p></div></div></body>", f"Head\n{PROSE * 6}\n{PROSE}"),
+        (f"<main><article>{PROSE * 3}</article><section>{PROSE * 2}</section></main>", f"{PROSE * 3}\n{PROSE * 2}"),
+        (f"<body><article><p>{PROSE * 3}</p></article><article><p>{PROSE * 2}</p></article></body>", f"{PROSE * 3}\n{PROSE * 2}"),
+        (f"<body><article><p>{PROSE * 3}</p></article><section><p>{PROSE * 2}</p></section></body>", f"{PROSE * 3}\n{PROSE * 2}"),
+        (f"<article><p>{PROSE}</p><ol><li><a href=1>Smith, J. (2010). On the many words.</a><li><a href=2>Of words and of rows</a>, 2nd ed.</ol></article>", f"{PROSE}\nSmith, J. (2010). On the many words.\nOf words and of rows, 2nd ed."),
+        (f"<div><p>{PROSE}</p><ul><li><a href=1>Home</a><li><a href=2>About us</a></ul><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+    ],
+)
+def test_no_part_of_the_content_is_cut(page, want):
+    assert html_text.extract(page) == want

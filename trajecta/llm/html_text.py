@@ -4,9 +4,10 @@ A page is cut into text nodes with their root-to-leaf tag paths (structural tags
 markup isn't part of a path). Text length and punctuation are summed for each path and divided by its
 nodes; the two ratios are smoothed over neighbouring nodes in page order with a Gaussian window, fused
 as their product, and paths whose nodes reach a share of the series' deviation are content. The content region is
-the article or main element around most of that text, else the deepest element that holds most of it; its
-blocks are returned, without the parts that are never article text: menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments, by their tags, roles and class or id words, and lists of links.
+every outermost article or main element with such text, and nodes on content paths beside them; without those
+elements it is the deepest element around all of that text. Its blocks are returned whole, as headings and short
+paragraphs have low ratios, without the parts that are never article text: menus, headers, footers, sidebars,
+notices, adverts, forms, scripts, styles and reader comments, by their tags, roles and class or id words, and lists of link labels.
 
 Blocks are separated by block-level tags. Character references are decoded, white space in a block
 becomes one space, and blocks are joined by a line feed.
@@ -57,6 +58,8 @@ WORD = re.compile(r"[a-z]+")
 #: Standard deviation of the smoothing window in nodes, and the share of the series' deviation that content reaches.
 SMOOTH = 1.0
 SHARE = 0.5
+#: Linked list items without punctuation and of fewer words than this on average are labels of a menu.
+LABEL_WORDS = 4
 
 
 @dataclass
@@ -141,11 +144,11 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(page: Page) -> set[str]:
-    """Paths whose fused ratio passes the threshold."""
+def content_paths(page: Page) -> tuple[set[str], float]:
+    """Paths whose fused ratio passes the threshold, and the threshold."""
     shown = [(page.elements[e].path, text, linked) for e, _, text, linked in page.nodes if not page.elements[e].apart and not text.isspace()]
     if not shown:
-        return set()
+        return set(), 0.0
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
     count: dict[str, int] = {}
@@ -162,24 +165,52 @@ def content_paths(page: Page) -> set[str]:
     best: dict[str, float] = {}
     for (path, _, _), f in zip(shown, fused, strict=True):
         best[path] = max(best.get(path, 0.0), f)
-    return {p for p, f in best.items() if f >= threshold and length.get(p, 0)}
+    return {p for p, f in best.items() if f >= threshold and length.get(p, 0)}, threshold
 
 
-def region(page: Page, paths: set[str]) -> int:
-    """The element that the main text is in."""
+def content_held(page: Page, paths: set[str]) -> list[int]:
+    """Characters of content that each element holds, with those below it."""
     held = [0] * len(page.elements)
     for e, _, text, linked in page.nodes:
         if not page.elements[e].apart and page.elements[e].path in paths and not linked:
             held[e] += len(text.strip())
     for e in range(len(page.elements) - 1, 0, -1):  # parents come before their children
         held[page.elements[e].parent] += held[e]
-    total = held[0]
-    if not total:
-        return -1
-    named = [e for e, x in enumerate(page.elements) if x.main and not x.apart and 2 * held[e] >= total]
-    if named:
-        return named[-1]
-    return max(e for e in range(len(held)) if 5 * held[e] >= 4 * total and page.elements[e].tag not in ("p", "li", "td"))
+    return held
+
+
+def region(page: Page, paths: set[str]) -> tuple[list[bool], bool]:
+    """Whether each element is in the main text's region, and whether article or main elements mark it."""
+    held, elements = content_held(page, paths), page.elements
+    inside = [bool(held[0]) and x.main and not x.apart and held[e] > 0 for e, x in enumerate(elements)]
+    marked = any(inside)
+    if held[0] and not marked:
+        inside[max(e for e in range(len(held)) if held[e] == held[0] and elements[e].tag not in ("p", "li", "td"))] = True
+    for e in range(1, len(elements)):
+        inside[e] |= inside[elements[e].parent]
+    return inside, marked
+
+
+def link_lists(page: Page, inside: list[bool], threshold: float) -> set[int]:
+    """Lists of mostly link text whose items aren't text: their ratio is under the threshold, or they are bare labels of a few words."""
+    lists: dict[int, list[int]] = {}  # list element -> characters, linked characters, marks, words, items, last block
+    around = [0] * len(page.elements)  # the nearest list
+    for e, x in enumerate(page.elements[1:], 1):
+        around[e] = e if x.tag in ("ul", "ol") and inside[e] else around[x.parent]
+    for e, block, text, linked in page.nodes:
+        n, e = len(text.strip()), around[e]
+        while n and e > 0:
+            sums = lists.setdefault(e, [0, 0, 0, 0, 0, -1])
+            for k, x in enumerate((n, n * linked, len(PUNCTUATION.findall(text)), len(text.split()), block != sums[5])):
+                sums[k] += x
+            sums[5] = block
+            e = around[page.elements[e].parent]
+    found = set()
+    for e, (n, linked, marks, words, items, _) in lists.items():
+        labels = linked == n and not marks and words < LABEL_WORDS * items
+        if 2 * linked > n and (labels or math.sqrt(n / items * (1 + marks / items)) < threshold):
+            found.add(e)
+    return found
 
 
 def extract(source: str | None) -> str:
@@ -187,35 +218,18 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     page = parse(source)
-    inside_of = region(page, content_paths(page))
-    if inside_of < 0:
-        return ""
-    inside = [False] * len(page.elements)
-    inside[inside_of] = True
-    lists: dict[int, list[int]] = {}  # list element -> characters, linked characters
-    for e, x in enumerate(page.elements):
-        if e > inside_of:
-            inside[e] = inside[x.parent]
-    for e, _, text, linked in page.nodes:
-        n = len(text.strip())
-        while e > 0 and inside[e]:
-            if page.elements[e].tag in ("ul", "ol"):
-                sums = lists.setdefault(e, [0, 0])
-                sums[0] += n
-                sums[1] += n * linked
-            e = page.elements[e].parent
-    menus = {e for e, (n, linked) in lists.items() if 2 * linked > n}
+    paths, threshold = content_paths(page)
+    inside, marked = region(page, paths)
+    chosen = [(inside[e] or (marked and x.path in paths)) and not x.apart for e, x in enumerate(page.elements)]
+    menus = link_lists(page, chosen, threshold)
+    in_menu = [e in menus for e in range(len(page.elements))]
+    for e in range(1, len(page.elements)):
+        in_menu[e] |= in_menu[page.elements[e].parent]
     out: list[str] = []
     last = -1
     for e, block, text, _ in page.nodes:
-        if not inside[e] or page.elements[e].apart:
+        if not chosen[e] or in_menu[e]:
             continue
-        if menus:
-            up = e
-            while up > 0 and up not in menus:
-                up = page.elements[up].parent
-            if up > 0:
-                continue
         if block != last:
             out.append(text)
             last = block
