@@ -55,3 +55,22 @@ def test_rows(spark):
 )
 def test_no_part_of_the_content_is_cut(page, want):
     assert html_text.extract(page) == want
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<body><div class='layout has-sidebar'><p>{PROSE}</p></div></body>", PROSE),
+        (f"<div id='content-with-nav'><p>{PROSE}</p></div>", PROSE),
+        (f"<main class='no-comments'><p>{PROSE}</p></main>", PROSE),
+        (f"<article class='post social-science'><p>{PROSE}</p></article>", PROSE),
+        (f"<main class='search'><h1>Head</h1><div class='search-results'><p>{PROSE}</p></div></main>", f"Head\n{PROSE}"),
+        (f"<body><div class='right sidebar'><p>{PROSE}</p><p>{PROSE}</p></div></body>", f"{PROSE}\n{PROSE}"),
+        (f"<body><form action=x><main><h1>Head</h1><p>{PROSE}</p></main></form></body>", f"Head\n{PROSE}"),
+        (f"<body><main><h1>Head</h1><form><p>{PROSE}</p></form></main></body>", f"Head\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><section id=comments><p>{PROSE * 9}</p></section><div class='cookie-banner'>{PROSE}</div></article><div class='site-footer'>{PROSE}</div>", PROSE),
+        (f"<div><p>{PROSE * 2}</p><div class='ad-slot'>{PROSE}</div><div hidden>{PROSE}</div></div>", PROSE * 2),
+    ],
+)
+def test_names_and_forms_around_the_content_do_not_empty_a_page(page, want):
+    assert html_text.extract(page) == want

@@ -37,13 +37,16 @@ RAW = "script style noscript template iframe textarea title svg math object sele
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var br wbr img".split())
 APART = frozenset("nav header footer aside form button dialog menu head fieldset".split())
+#: Of these, those that may be around a whole page.
+WRAPPERS = frozenset(["form", "fieldset"])
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-#: Words of a class, id or role that mark what isn't article text.
+#: Words of a class, id or role that mark what isn't article text; a name counts if all its words are of these or of BESIDE.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner comment comments respond reply replies discussion disqus "
     "cookie cookies consent gdpr notice popup modal newsletter subscribe subscription signup sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer header masthead share sharing social related recommended recommendations pagination pager widget toolbar login search complementary contentinfo".split()
 )
+BESIDE = frozenset("site page main global top bottom left right primary secondary inner list box bar block area section container wrapper slot item items links".split())
 MAIN = frozenset(["article", "main"])
 
 TOKEN = re.compile(
@@ -69,6 +72,8 @@ class Element:
     apart: bool
     path: str
     main: bool
+    # boilerplate unless it holds the page's content
+    doubtful: bool = False
 
 
 @dataclass
@@ -78,20 +83,25 @@ class Page:
     nodes: list[tuple[int, int, str, bool]] = field(default_factory=list)
 
 
-def described(attributes: str) -> tuple[str, bool, bool]:
-    """(class of the element, whether it is boilerplate by name, whether it is named as the main part)."""
-    named, apart, main = "", False, False
+def is_boilerplate(name: str) -> bool:
+    words = WORD.findall(name)
+    return not BOILERPLATE.isdisjoint(words) and all(w in BOILERPLATE or w in BESIDE for w in words)
+
+
+def described(attributes: str) -> tuple[str, bool, bool, bool]:
+    """(class of the element, whether it is hidden, whether it is boilerplate by name, whether it is named as the main part)."""
+    named, hidden, apart, main = "", False, False, False
     for name, value in NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
-            apart = True
+            hidden = True
         elif name in ("class", "id", "role"):
-            apart |= not BOILERPLATE.isdisjoint(WORD.findall(value))
+            apart |= any(map(is_boilerplate, value.split()))
             main |= name == "role" and value == "main"
             named = value if name == "class" else named
         elif name == "itemprop":
             main |= value == "articlebody"
-    return named, apart, main
+    return named, hidden, apart, main
 
 
 def parse(source: str) -> Page:
@@ -125,11 +135,13 @@ def parse(source: str) -> Page:
         while len(stack) > 1 and (elements[stack[-1]].tag in closing or elements[stack[-1]].tag == "p"):
             stack.pop()
         attributes = m["attributes"]
-        named, apart, main = described(attributes) if attributes.strip() else ("", False, False)
+        named, hidden, apart, main = described(attributes) if attributes.strip() else ("", False, False, False)
+        main |= tag in MAIN
         above = elements[stack[-1]]
-        # the page's own elements are never boilerplate by name
-        apart = (apart and tag not in ("html", "body")) or tag in APART or above.apart
-        elements.append(Element(tag, stack[-1], apart, f"{above.path}/{tag}.{named}" if named else f"{above.path}/{tag}", main or tag in MAIN))
+        # the page's own elements are never boilerplate by name or hidden, nor are its main parts by name
+        doubtful = (apart and not main and tag not in ("html", "body")) or tag in WRAPPERS
+        apart = (hidden and tag not in ("html", "body")) or (tag in APART and tag not in WRAPPERS) or above.apart
+        elements.append(Element(tag, stack[-1], apart, f"{above.path}/{tag}.{named}" if named else f"{above.path}/{tag}", main, doubtful))
         stack.append(len(elements) - 1)
     return page
 
@@ -179,6 +191,25 @@ def content_held(page: Page, paths: set[str]) -> list[int]:
     return held
 
 
+def part_boilerplate(page: Page) -> None:
+    """Sets doubtful elements apart, except those that hold most of the content; of article and main elements' content at most
+    a headline may be outside those that are doubtful by name, so that comments longer than their article go."""
+    elements = page.elements
+    if any(x.doubtful and not x.apart for x in elements):
+        held = content_held(page, content_paths(page)[0])
+        # content of outermost article and main elements below each element
+        main, within = [0] * len(elements), [False] * len(elements)
+        for e, x in enumerate(elements[1:], 1):
+            within[e] = x.main or within[x.parent]
+            main[e] = held[e] if x.main and not within[x.parent] else 0
+        for e in range(len(elements) - 1, 0, -1):
+            main[elements[e].parent] += main[e]
+        for e, x in enumerate(elements[1:], 1):
+            outside = main[0] - (held[e] if within[e] else main[e])
+            kept = 2 * held[e] > held[0] and (x.tag in WRAPPERS or 10 * outside <= held[0])
+            x.apart |= (x.doubtful and not kept) or elements[x.parent].apart
+
+
 def region(page: Page, paths: set[str]) -> tuple[list[bool], bool]:
     """Whether each element is in the main text's region, and whether article or main elements mark it."""
     held, elements = content_held(page, paths), page.elements
@@ -218,6 +249,7 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     page = parse(source)
+    part_boilerplate(page)
     paths, threshold = content_paths(page)
     inside, marked = region(page, paths)
     chosen = [(inside[e] or (marked and x.path in paths)) and not x.apart for e, x in enumerate(page.elements)]
