@@ -72,3 +72,28 @@ def test_toxicity_of_held_out_texts(spark):
     wrong = [i for i in range(400) if got[i].predicted != int(i % 4 == 0)]
     assert len(wrong) <= 4 and got[900].score == got[901].score < 0.5
     assert got[0].held_out == (zlib.crc32(b"0") % 5 == 0)
+
+
+def test_toxicity_counts_all_labelled_texts(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows, labels, rare = [], [], []
+    for i in range(1600):
+        words = [rng.choice(WORDS["aa"]) + rng.choice(WORDS["bb"]) for _ in range(rng.randrange(3, 12))]
+        toxic = i % 2 == 0
+        if toxic:
+            rare += [i] * (i % 50 == 0)
+            words.insert(rng.randrange(len(words)), "grubzo" if i % 50 == 0 else "vilexq")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    df, known = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(df, known, per_class=40).collect()}
+    assert [i for i in rare if got[i].predicted != 1] == []
+    assert sum(got[i].predicted for i in range(1, 1600, 2)) <= 8
+    bucket, texts_of, total = toxicity.count(df.join(known, "doc_id").withColumnRenamed("toxic", "label"))
+    sets = [set(toxicity.ngrams([t], toxicity.SIZES, toxicity.BITS)[0].tolist()) for _, t in rows]
+    brute = np.zeros((2, 1 << toxicity.BITS), int)
+    for i, s in enumerate(sets):
+        brute[labels[i][1], list(s)] += 1
+    assert list(total) == [800, 800] and (bucket == np.flatnonzero(brute.sum(0) >= toxicity.LEAST_TEXTS)).all() and (texts_of == brute[:, bucket]).all()

@@ -4,7 +4,9 @@ Features are the presence of hashed n-grams. Each is scaled by the log ratio of
 toxic and other texts, and a logistic regression is trained on the scaled features. Only the n-grams that
 tell the classes apart best are kept, so a text's score is a sum over few table hits.
 
-Training uses a bounded sample, ``per_class`` texts of each label; the intercept is set for the labels' real frequencies.
+N-grams are counted in all labelled training texts, in a distributed aggregate; its result is bounded by the buckets.
+The regression uses a bounded sample, ``per_class`` texts of each label, of which the driver gets the chosen n-grams
+only; the intercept is set for the labels' real frequencies.
 
 Defined results: a null or empty text has no n-grams and gets the intercept's score; without both labels every
 score is the share of label 1 (0.5 if nothing is labelled); labels other than 0 and 1, and null ids, are not used.
@@ -25,12 +27,16 @@ from trajecta.llm.shared import crc_of_id, map_arrow, slices, texts
 
 SIZES = (3, 4, 5)
 BITS = 22
-PER_CLASS = 2000
-FEATURES = 15_000
+PER_CLASS = 2500
+FEATURES = 40_000
 #: Texts that an n-gram must be in to be a feature.
 LEAST_TEXTS = 4
 #: Gradient steps of the regression.
 STEPS = 1000
+#: Features on each side that give a weight to one that isn't in the sample.
+NEAR = 100
+#: Features of the sample that are a dense matrix at a time.
+BLOCK = 2000
 
 
 def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,37 +44,92 @@ def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys & ((1 << BITS) - 1), keys >> BITS
 
 
-def train(rows: list[tuple[int, np.ndarray]], share: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """(buckets, weights, intercept) from (label, distinct buckets) rows; ``share`` is that of label 1."""
-    labels = np.array([label for label, _ in rows], np.float64)
-    texts_of = np.zeros((2, 1 << BITS), np.int32)
-    for label, bucket in rows:
-        texts_of[label, bucket] += 1
-    known = np.flatnonzero(texts_of.sum(0) >= LEAST_TEXTS)
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    p, q = (texts_of[1, known] + 0.5) / (n1 + 1), (texts_of[0, known] + 0.5) / (n0 + 1)
+def count(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, texts of each label by bucket, texts of each label) of rows with ``text`` and ``label``; buckets in LEAST_TEXTS texts or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts_of, last, rows = np.zeros((2, 1 << BITS), np.int32), np.empty(1 << BITS, np.int32), np.zeros(2, np.int64)
+        for whole in batches:
+            for batch in slices(whole, "text", 500_000):
+                for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                    bucket, _ = ngrams([text], SIZES, BITS)
+                    place = np.arange(len(bucket), dtype=np.int32)
+                    last[bucket] = place
+                    texts_of[label, bucket[last[bucket] == place]] += 1
+                    rows[label] += 1
+        seen = np.flatnonzero(texts_of.any(0)).astype(np.int32)
+        # bucket -1 has the texts
+        if rows.any():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array(rows[:1]), pa.array(rows[1:])], names=["bucket", "n0", "n1"])
+        for start in range(0, len(seen), 100_000):
+            part = seen[start : start + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(texts_of[k, part].astype(np.int64)) for k in (0, 1))], names=["bucket", "n0", "n1"])
+
+    counts = map_arrow(found, run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    got = counts.where((F.col("n0") + F.col("n1") >= LEAST_TEXTS) | (F.col("bucket") < 0)).toArrow()
+    bucket, texts_of = got.column("bucket").to_numpy(), np.stack([got.column(c).to_numpy() for c in ("n0", "n1")])
+    order = np.argsort(bucket)
+    bucket, texts_of = bucket[order], texts_of[:, order]
+    return (bucket[1:], texts_of[:, 1:], texts_of[:, 0]) if len(bucket) else (bucket, texts_of, np.zeros(2, np.int64))
+
+
+def choose(known: np.ndarray, texts_of: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, log ratios) of the features."""
+    p, q = (texts_of[1] + 0.5) / (total[1] + 1), (texts_of[0] + 0.5) / (total[0] + 1)
     ratio = np.log(p / q)
     gain = np.abs(ratio) * np.abs(p - q)
     best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
     best = best[gain[best] > 0]
-    chosen, scale = known[best], ratio[best]
-    number = np.full(1 << BITS, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    columns = [c[c >= 0] for c in (number[bucket] for _, bucket in rows)]
-    row, column = np.repeat(np.arange(len(rows)), [len(c) for c in columns]), np.concatenate(columns)
-    # logistic regression on presence * ratio, balanced classes, by accelerated gradient steps
-    w, b, v, vb = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen)), 0.0
+    return known[best], ratio[best]
+
+
+def products(ends: np.ndarray, column: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Products of the texts' scaled rows, a block of features and of texts at a time."""
+    n = len(ends) - 1
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
+    out = np.zeros((n, n), np.float32)
+    for low in range(0, len(scale), BLOCK):
+        width = min(BLOCK, len(scale) - low)
+        hit = np.flatnonzero((column >= low) & (column < low + width))
+        dense = np.zeros((n, width), np.float32)
+        dense[row[hit], column[hit] - low] = scale[column[hit]]
+        for start in range(0, n, 500):
+            stop = min(start + 500, n)
+            out[start:stop, :stop] += dense[start:stop] @ dense[:stop].T
+    for start in range(0, n, 500):
+        stop = min(start + 500, n)
+        out[:start, start:stop] = out[start:stop, :start].T
+    return out
+
+
+def train(labels: np.ndarray, ends: np.ndarray, column: np.ndarray, scale: np.ndarray, share: float) -> tuple[np.ndarray, float]:
+    """(weights, intercept) from the labels and the features of texts, those of text i being column[ends[i] : ends[i + 1]];
+    ``share`` is that of label 1."""
+    product = products(ends, column, scale)
+    n1, n0 = labels.sum(), (1 - labels).sum()
+    # logistic regression on presence * ratio, balanced classes, by accelerated gradient steps; as they start at 0, weights
+    # stay sums of the texts' rows, and steps are taken on the sums' factors
+    w, b, v, vb = np.zeros(len(labels)), 0.0, np.zeros(len(labels)), 0.0
     balance = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
-    norm = np.bincount(row, scale[column] ** 2, len(rows)).max() if len(row) else 1.0
-    step = 4.0 / (norm + 1)
+    step = 4.0 / (product.diagonal().max() + 1)
     for k in range(STEPS):
         yw, yb = w + k / (k + 3) * (w - v), b + k / (k + 3) * (b - vb)
-        z = np.bincount(row, (yw * scale)[column], len(rows)) + yb
+        z = product @ yw.astype(np.float32) + yb
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance
         v, vb = w, b
-        w = yw - step * (np.bincount(column, error[row], len(chosen)) * scale + 1e-6 * yw)
+        w = yw - step * (error + 1e-6 * yw)
         b = yb - step * error.sum()
-    return chosen, (w * scale), b + math.log(share / (1 - share))
+    weights = np.zeros(len(scale))
+    for i, x in enumerate(w):
+        weights[column[ends[i] : ends[i + 1]]] += x
+    weights *= scale
+    # features that no sampled text has get the mean weight of those next to them in ratio
+    seen = np.bincount(column, minlength=len(scale)) > 0
+    order = np.flatnonzero(seen)[np.argsort(scale[seen], kind="stable")]
+    sums, place = np.concatenate([[0], np.cumsum(weights[order])]), np.searchsorted(scale[order], scale[~seen])
+    low, high = np.clip(place - NEAR, 0, max(0, len(order) - NEAR)), np.clip(place + NEAR, min(NEAR, len(order)), len(order))
+    weights[~seen] = np.maximum((sums[high] - sums[low]) / (high - low), 0)
+    return weights * scale, b + math.log(share / (1 - share))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -80,23 +141,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     none = (np.empty(0, np.int64), np.empty(0))
     if not counts.get(0) or not counts.get(1):
         return *none, {0.0: -20.0, 1.0: 20.0}.get(share, 0.0)
-    chosen = sample_per_class(usable, label_col, per_class, id_col)
-    found = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
+    rows = texts(docs, id_col, text_col)
+    labelled = usable.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
+    # labels grow with the texts, so they are dealt by id, not broadcast
+    training = rows.where(crc_of_id() % 5 != 0).join(labelled.hint("shuffle_hash"), "doc_id").select("label", "text")
+    known, texts_of, of_label = count(training)
+    chosen, scale = choose(known, texts_of, of_label)
+    if not of_label.all() or not len(chosen):
+        return *none, math.log(share / (1 - share))
+    sample = sample_per_class(usable, label_col, per_class, id_col)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << BITS, -1, np.int32)
+        number[shared.value] = np.arange(len(shared.value))
         for whole in batches:
             for batch in slices(whole, "text", 500_000):
                 for i, text in enumerate(batch.column("text").to_pylist()):
-                    bucket, _ = distinct(*ngrams([text], SIZES, BITS))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([int(batch.column("label")[i].as_py())]), pa.array([bucket.astype(np.int32).tobytes()])], names=["doc_id", "label", "buckets"])
-
-    got = map_arrow(found, run, "doc_id long, label long, buckets binary").toArrow()
-    order = np.lexsort((got.column("label").to_numpy(), got.column("doc_id").to_numpy()))
-    column, label = got.column("buckets"), got.column("label").to_numpy()
-    rows = [(int(label[i]), np.frombuffer(column[int(i)].as_buffer(), np.int32)) for i in order]
-    if len({label for label, _ in rows}) < 2:
+                    column = number[ngrams([text], SIZES, BITS)[0]]
+                    column = np.unique(column[column >= 0])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([int(batch.column("label")[i].as_py())]), pa.array([column.tobytes()])], names=["doc_id", "label", "columns"])
+
+    got = map_arrow(rows.join(F.broadcast(sample), "doc_id"), run, "doc_id long, label long, columns binary").toArrow()
+    label = got.column("label").to_numpy()
+    order = np.lexsort((label, got.column("doc_id").to_numpy()))
+    columns = [np.frombuffer(got.column("columns")[int(i)].as_buffer(), np.int32) for i in order]
+    label = label[order].astype(np.float64)
+    if not 0 < label.sum() < len(label):
         return *none, math.log(share / (1 - share))
-    return train(rows, share)
+    ends = np.concatenate([[0], np.cumsum([len(c) for c in columns])])
+    weights, intercept = train(label, ends, np.concatenate(columns), scale, share)
+    return chosen, weights, intercept
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
