@@ -49,10 +49,8 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
 @_stage
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays; of repeated rows one stays."""
-    stays = ngram_join.join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(ngram_join.NULL_ID)).alias("stays")).distinct()
-    keyed = docs.withColumn("key", F.coalesce("doc_id", F.lit(ngram_join.NULL_ID))).withColumn("text_key", F.xxhash64("text"))
-    return keyed.join(stays, F.col("key") == F.col("stays"), "left_semi").dropDuplicates(["key", "text_key"]).select(*COLUMNS)
+    """Of each class of near-duplicates the document with the smallest id stays (of those that share it, one); of repeated rows one stays."""
+    return ngram_join.representatives(docs, keep=COLUMNS).select(*COLUMNS)
 
 
 @_stage
@@ -93,5 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for number, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        if number:
+            shared.delete(spark, [f"{folder}/{number - 1}"])
         docs = spark.read.parquet(f"{folder}/{number}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -77,3 +77,10 @@ def test_language_stage_keeps_short_clean_texts(spark, tmp_path):
     out = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), str(tmp_path))
     kept = {r.doc_id for r in out.where("doc_id >= 9000000").collect()}
     assert kept == {9_000_000 + k for k in range(len(words))}
+
+
+def test_near_duplicate_stage_keeps_rows_apart(spark, tmp_path):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, one, "en", "s", 0), (5, one, "en", "s", 0), (5, two, "en", "s", 0), (5, two, "en", "s", 0)], spark.read.parquet(DOCUMENTS).schema)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, one), (5, two)]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm.features import ngrams, sample_per_class
-from trajecta.llm.shared import crc_of_id, map_arrow, slices, texts
+from trajecta.llm.shared import crc_of_id, map_arrow, slices, texts, valid_text
 
 SIZES = (2, 3, 4)
 BITS = 16
@@ -66,7 +66,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, learn: Colu
     """Learns from text and label of the rows that ``learn`` holds for."""
     usable = docs.where(learn & F.col(text_col).rlike(r"\p{L}"))
     chosen = sample_per_class(usable, label_col, per_language, id_col)
-    found = texts(usable, id_col, text_col, label_col).join(F.broadcast(chosen), "doc_id").where(F.col(label_col) == F.col("label")).select("doc_id", "label", "text")
+    found = texts(usable, id_col, text_col, label=F.col(label_col)).join(F.broadcast(chosen), ["doc_id", "label"]).select("doc_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,7 +86,7 @@ def predict(docs: DataFrame, id_col: str, text_col: str, model: tuple[list[str],
     names, weights = model
     extra = [weights.any(1, keepdims=True).astype(np.float32)] if keep else []
     shared = docs.sparkSession.sparkContext.broadcast((names, np.concatenate([weights, *extra, np.ones((1 << BITS, 1), np.float32)], 1)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*(F.col(c) for c in keep)).alias("rest") if keep else F.lit(0).alias("rest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), valid_text(text_col).alias("text"), F.struct(*(F.col(c) for c in keep)).alias("rest") if keep else F.lit(0).alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex

@@ -1,11 +1,16 @@
 """Helpers that several operators of this subpackage use.
 
-Working tables go to the folder that the cluster names in ``spark.checkpoint.dir``, which driver and
-executors share; a machine-local folder is taken only where that setting is missing (tests on one machine).
+Working tables go to the folder that the cluster names in ``spark.checkpoint.dir``, which driver and executors
+share. Where that setting is missing, a local master gets a folder of its own (tests on one machine) and any other
+raises. The application's working tables are deleted when the driver's process ends, or earlier with ``delete``.
+
+Ids are whole numbers (byte to long). Bytes of a text that aren't UTF-8 are read as U+FFFD, except where an
+operator works on bytes.
 """
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -14,18 +19,33 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder for working tables, below ``spark.checkpoint.dir``."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/trajecta-{spark.sparkContext.applicationId}"
+    folder = f"{base.rstrip('/')}/trajecta-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_delete_at_end, spark, folder)
+    return folder
+
+
+_folders: set[str] = set()
+
+
+def _delete_at_end(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have ended before
+        delete(spark, [folder])
 
 
 _made = threading.local()
@@ -38,6 +58,8 @@ def collected() -> Iterator[list[str]]:
     try:
         yield _made.tables
     finally:
+        if outer is not None:
+            outer.extend(_made.tables)
         _made.tables = outer
 
 
@@ -59,11 +81,22 @@ def delete(spark: SparkSession, tables: list[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def texts(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+def valid_text(text_col: str) -> Column:
+    """The text, null as empty, bytes that aren't UTF-8 as U+FFFD."""
+    return F.make_valid_utf8(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def long_id(df: DataFrame, id_col: str) -> Column:
+    """The id as a long; ids of other kinds than whole numbers raise here and not in a task."""
+    kind = df.select(F.col(id_col)).schema[0].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}")
+    return F.col(id_col).cast("long")
+
+
+def texts(df: DataFrame, id_col: str, text_col: str, **more: Column) -> DataFrame:
     """The id as ``doc_id`` and the text as ``text`` (null: empty), so that no other column can clash."""
-    return df.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c) for c in more)
-    )
+    return df.select(F.col(id_col).alias("doc_id"), valid_text(text_col).alias("text"), *(c.alias(name) for name, c in more.items()))
 
 
 def crc_of_id(id_col: str = "doc_id") -> F.Column:
