@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 
@@ -11,14 +13,11 @@ def mixed(h):
 
 
 class Hasher:
-    """Hashes of all q-grams of a byte block, and of arbitrary runs of it."""
+    """Hashes of all q-grams of a byte block."""
 
-    def __init__(self, q: int, most: int, seed: int = 20):
-        rng = np.random.default_rng(seed)
-        self.q, self.gram, self.run = q, rng.integers(0, 2**64, 256, np.uint64), rng.integers(0, 2**64, 256, np.uint64)
+    def __init__(self, q: int, seed: int = 20):
+        self.q, self.gram = q, np.random.default_rng(seed).integers(0, 2**64, 256, np.uint64)
         self.p = np.uint64(0x9E3779B97F4A7C15)
-        self.power = np.cumprod(np.full(most, 0xD6E8FEB86659FD93, np.uint64))
-        self.inverse = np.cumprod(np.full(most, pow(0xD6E8FEB86659FD93, -1, 2**64), np.uint64))
 
     def grams(self, buf):
         """Hash of the q bytes from each position, by doubling."""
@@ -35,11 +34,12 @@ class Hasher:
                 h, p, width = h[:-width] * p + h[width:], np.uint64(int(p) ** 2 % 2**64), 2 * width
         return mixed(out)
 
-    def prefix(self, buf):
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.run[buf] * self.power[: len(buf)], dtype=np.uint64)])
 
-    def runs(self, prefix, start, stop):
-        return mixed((prefix[stop] - prefix[start]) * self.inverse[start])
+def digests(buf, start, stop, numbers: int = 1):
+    """BLAKE2b of each run of bytes, as ``numbers`` 64-bit numbers."""
+    data, size, blake = memoryview(buf), 8 * numbers, hashlib.blake2b
+    made = b"".join([blake(data[i:j], digest_size=size).digest() for i, j in zip(start.tolist(), stop.tolist(), strict=True)])
+    return np.frombuffer(made, np.int64).reshape(-1, numbers).T
 
 
 def sliding_minimum(v, width: int):
