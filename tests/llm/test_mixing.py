@@ -10,6 +10,7 @@ from trajecta.llm import mixing
 def table(spark, seed=1):
     rng = random.Random(seed)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(["hot"] * 12 + ["b", "c", "d", None]), i) for i in range(1500)]
+    rows += [(None, " ".join(["w"] * rng.randrange(1, 40) + [str(k)]), "hot", k) for k in range(100)]
     rows += [(5000, None, "empty", 0), (5001, "  \n ", "empty", 0), rows[7]]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, weight int").repartition(3)
 
@@ -39,19 +40,42 @@ def test_mix_realises_the_plan(spark, options):
     drawn, draws = defaultdict(int), Counter()
     for r in got:
         drawn[r.source] += r.n_tokens
-        draws[r.doc_id] += 1
-        assert 0 <= r.position <= 1 and r.weight == p.weights[r.source]
+        draws[r.doc_id] += r.doc_id is not None
+        assert 0 <= r.position <= 1 and math.isclose(r.weight, p.weights[r.source], rel_tol=1e-9, abs_tol=1e-12)
     largest = max(count(t) for _, t, _, _ in rows)
     for s, n in tokens.items():
         if n:
             assert 0 <= drawn[s] - p.weights[s] * p.budget <= 2 * largest, s
-    for i, _, s, _ in rows:
+    for i, _, s, _ in (r for r in rows if r[0] is not None):
         times = draws[i] / (2 if i == rows[7][0] else 1)
         assert times in (math.floor(p.repeats[s] + 1e-9), math.floor(p.repeats[s] + 1e-9) + 1)
     if not options.get("budget"):
-        assert set(draws) == {r[0] for r in rows}
+        assert set(draws) - {None} == {r[0] for r in rows} - {None}
     # each pass holds a document once
-    assert max(Counter((r.doc_id, r.epoch) for r in got if r.doc_id != rows[7][0]).values()) == 1
+    assert max(Counter((r.doc_id, r.epoch) for r in got if r.doc_id not in (None, rows[7][0])).values()) == 1
+
+
+def test_positions_and_rows_without_ids(spark):
+    """A block's documents lie within a block's length, sources are spread evenly, and rows without an id over many blocks."""
+    _, df = table(spark)
+    got = mixing.mix(df, block_tokens=300).collect()
+    n_blocks = {s: len({r.block for r in got if r.source == s}) for s in ("hot", "b", None)}
+    for s in n_blocks:
+        rows = [r for r in got if r.source == s and r.epoch == 0]
+        repeats = max(x.epoch for x in got if x.source == s) + 1
+        spans = defaultdict(list)
+        for r in rows:
+            spans[r.block].append(r.position)
+        # block numbers are below the source's number of blocks, so its length is at most 1 / (blocks + 1) of a pass
+        assert all(max(x) - min(x) <= 1 / (max(spans) + 1) for x in spans.values()), repeats
+    hot = sorted(r.position for r in got if r.source == "hot")
+    assert all(abs(x - (k + 0.5) / len(hot)) < 0.2 for k, x in enumerate(hot))
+    assert len({r.block for r in got if r.doc_id is None}) > 10
+
+
+def test_budget_that_cannot_be_met_raises():
+    with pytest.raises(ValueError):
+        mixing.plan({"a": 400, "b": 600}, max_repeats=1.0, budget=5000)
 
 
 def test_partial_epoch_follows_the_block_order(spark):

@@ -10,28 +10,35 @@ its own, and through a block's documents in a hashed order. A source gets whole
 in that epoch's order until the source's budget is met, and in the last block documents until it is met.
 The default budget is the least that leaves no document out.
 
-Decisions need one total per source and one per block; documents are chosen by comparing hashes with a
-few numbers of their source, so texts are never shuffled. Statistics of sources go to the driver (their
-number is that of sources, not of documents); a hot source is many blocks.
+Tokens are counted in one pass over the texts, whose counts are written; all else works on the counts. The
+exponent needs sums over sources, which are aggregated, a grid of exponents at a time; where a budget ends is found among
+ranges of the blocks' order, then among the blocks of one range, then among the documents of one block, so no task
+gets a source. Sources, however many, stay a table that documents are joined with. Texts are shuffled only if
+that table is too large for the optimiser to broadcast.
 
 Defined results: a null source is a source of its own; a null or blank text has no tokens; a source without
-tokens is passed through once; repeated rows get the same result each; an empty table gives an empty mix.
+tokens is passed through once; repeated rows get the same result each, and rows that share an id are drawn together; rows
+without an id are dealt by their text; an empty table gives an empty mix; a budget that no exponent can meet raises.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from trajecta.llm.shared import materialise
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 200_000
 SEED = 17
-#: Halvings of the exponent's interval.
-STEPS = 60
+#: Parts that the exponent's interval is cut into at a time, and how many times: 60 halvings.
+PARTS, TIMES = 16, 15
+#: Leading bits of the blocks' order that make ranges.
+RANGE_BITS = 10
 
 
 @dataclass
@@ -42,6 +49,10 @@ class Plan:
     repeats: dict  # source -> passes through the source
 
 
+#: exponents -> for each, the sum of the shares' powers and the entropy of the normalised powers
+Moments = Callable[[list[float]], list[tuple[float, float]]]
+
+
 def weights_at(tokens: dict, exponent: float) -> dict:
     total = sum(tokens.values())
     powers = {s: (n / total) ** exponent if n else 0.0 for s, n in tokens.items()}
@@ -53,33 +64,62 @@ def entropy(weights: dict) -> float:
     return -sum(w * math.log(w) for w in weights.values() if w > 0)
 
 
-def least_budget(tokens: dict, weights: dict) -> float:
-    """Tokens of the smallest mix that passes through each source at least once."""
-    return max(n / weights[s] for s, n in tokens.items() if n)
-
+def bisected(total: int, least: int, most: int, moments: Moments, max_repeats: float | None, target_entropy: float | None, budget: float | None) -> tuple[float, float, float]:
+    """(exponent, sum of the shares' powers, budget), given the tokens of all sources, of the smallest and of the largest. With
+    an entropy, the exponent whose weights have it (as near as exponents from 0 to 1 come); else the smallest
+    exponent at which no source is repeated more than ``max_repeats`` times. At exponents up to 1 the smallest source is repeated most."""
+    if target_entropy is None and max_repeats is None:
+        raise ValueError("give max_repeats or target_entropy")
+    if target_entropy is None and budget and budget > max_repeats * total * (1 + 1e-9):
+        raise ValueError(f"{budget} tokens need more than {max_repeats} repeats of {total}")
 
-def plan(tokens: dict, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: float | None = None) -> Plan:
-    """Bisects the exponent. With an entropy, to the exponent whose weights have it (as near as exponents from 0
-    to 1 come); else to the smallest exponent at which no source is repeated more than ``max_repeats`` times."""
-    if not sum(tokens.values()):
-        return Plan(1.0, 0.0, {s: 0.0 for s in tokens}, {s: 1.0 for s in tokens})
-
-    def enough(exponent: float) -> bool:
-        w = weights_at(tokens, exponent)
+    def enough(exponents: list[float]) -> list[bool]:
         if target_entropy is not None:
-            return entropy(w) <= target_entropy
-        b = budget or least_budget(tokens, w)
-        return max(w[s] * b / n for s, n in tokens.items() if n) <= max_repeats
+            return [e <= target_entropy for _, e in moments(exponents)]
+        if budget:
+            return [(least / total) ** (a - 1) / norm * budget / total <= max_repeats for a, (norm, _) in zip(exponents, moments(exponents), strict=True)]
+        return [(most / least) ** (1 - a) <= max_repeats for a in exponents]
 
     low, high = 0.0, 1.0
-    if enough(low):
+    if enough([low])[0]:
         high = low
-    for _ in range(STEPS if high else 0):
-        middle = (low + high) / 2
-        low, high = (low, middle) if enough(middle) else (middle, high)
-    w = weights_at(tokens, high)
-    b = budget or least_budget(tokens, w)
-    return Plan(high, b, w, {s: w[s] * b / n if n else 1.0 for s, n in tokens.items()})
+    for _ in range(TIMES if high else 0):
+        grid = [low + (high - low) * k / PARTS for k in range(PARTS + 1)]
+        first = next((k for k, met in enumerate(enough(grid[1:-1]), 1) if met), PARTS)
+        low, high = grid[first - 1], grid[first]
+    norm = moments([high])[0][0]
+    return high, norm, budget or total * norm * (most / total) ** (1 - high)
+
+
+def plan(tokens: dict, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None, budget: float | None = None) -> Plan:
+    """The plan of given sources."""
+    some = [n for n in tokens.values() if n]
+    if not some:
+        return Plan(1.0, 0.0, {s: 0.0 for s in tokens}, {s: 1.0 for s in tokens})
+    total = sum(some)
+    moments = lambda exponents: [(sum((n / total) ** a for n in some), entropy(weights_at(tokens, a))) for a in exponents]
+    exponent, _, b = bisected(total, min(some), max(some), moments, max_repeats, target_entropy, budget)
+    w = weights_at(tokens, exponent)
+    return Plan(exponent, b, w, {s: w[s] * b / n if n else 1.0 for s, n in tokens.items()})
+
+
+def planned(sources: DataFrame, max_repeats: float | None, target_entropy: float | None, budget: float | None, block_tokens: int) -> DataFrame:
+    """``s, n, weight, repeats, whole`` (epochs), ``part`` (tokens of a further one) and ``blocks`` of sources (s, n)."""
+    total, least, most = sources.where("n > 0").agg(F.sum("n"), F.min("n"), F.max("n")).first()
+    share = F.col("n") / F.lit(float(total or 1))
+
+    def moments(exponents: list[float]) -> list[tuple[float, float]]:
+        sums = [x for a in exponents for x in (F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.ln(share)))]
+        row = sources.where("n > 0").agg(*(x.alias(f"m{k}") for k, x in enumerate(sums))).first()
+        return [(norm, math.log(norm) - a * log / norm) for a, norm, log in zip(exponents, row[::2], row[1::2], strict=True)]
+
+    exponent, norm, b = bisected(total, least, most, moments, max_repeats, target_entropy, budget) if total else (1.0, 1.0, 0.0)
+    with_weight = sources.withColumn("weight", F.when(F.col("n") > 0, F.pow(share, F.lit(exponent)) / norm).otherwise(0.0))
+    repeats = F.when(F.col("n") > 0, F.col("weight") * b / F.col("n")).otherwise(1.0)
+    whole = F.floor(F.col("repeats") + 1e-9).cast("int")
+    return with_weight.withColumn("repeats", repeats).withColumn("whole", whole).select(
+        "s", "n", "weight", "repeats", "whole", (F.greatest(F.col("repeats") - F.col("whole"), F.lit(0.0)) * F.col("n")).alias("part"), F.greatest(F.ceil(F.col("n") / block_tokens), F.lit(1)).cast("long").alias("blocks")
+    )
 
 
 def token_count(text_col: str) -> F.Column:
@@ -100,46 +140,44 @@ def mix(
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per draw: ``doc_id, source, n_tokens, weight, epoch, block, position`` and the columns in ``keep``.
-    In order of ``position`` (0 to 1) the sources are mixed evenly."""
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(text_col).alias("n_tokens"), F.struct(*(F.col(c) for c in keep)).alias("rest") if keep else F.lit(0).alias("rest"))
-    counted = rows.select("doc_id", "source", "n_tokens")
-    tokens = {r.source: r.n for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
-    made = plan(tokens, max_repeats, target_entropy, budget)
-    kind = rows.schema["source"].dataType
-    schema = T.StructType([T.StructField("s", kind), T.StructField("blocks", T.LongType()), T.StructField("whole", T.IntegerType()), T.StructField("part", T.DoubleType()), T.StructField("weight", T.DoubleType()), T.StructField("repeats", T.DoubleType())])
-
-    def split(r: float) -> tuple[int, float]:
-        whole = math.floor(r + 1e-9)
-        return whole, max(0.0, r - whole)
-
-    sources = spark.createDataFrame([(s, max(1, math.ceil(n / block_tokens)), split(made.repeats[s])[0], split(made.repeats[s])[1] * n, made.weights[s], made.repeats[s]) for s, n in tokens.items()], schema)
-    block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks"))
+    In order of ``position`` (0 to 1) the sources are mixed evenly; a block of an epoch begins at a random place,
+    and its documents follow over a block's length."""
+    own = F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), text_col)).otherwise(F.xxhash64(id_col))
+    rest = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(0)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), token_count(text_col).alias("n_tokens"), own.alias("own"), rest.alias("rest"))
+    counted = materialise(rows.drop("rest"), "mix-counts")
+    rows = rows if keep else counted.withColumn("rest", rest)
+    sources = materialise(counted.groupBy(F.col("source").alias("s")).agg(F.sum("n_tokens").alias("n")), "mix-sources")
+    sources = materialise(planned(sources, max_repeats, target_entropy, budget, block_tokens), "mix-plan")
+
+    block = F.pmod(F.xxhash64("own", F.lit(seed)), F.col("blocks"))
     order = F.xxhash64(F.lit(seed), "whole", "block")
-    place = F.xxhash64(F.lit(seed), "whole", "doc_id")
-    dealt = lambda r: r.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block)
+    place = F.xxhash64(F.lit(seed), "whole", "own")
+    dealt = lambda r, with_plan: r.join(with_plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("block", block)
+    same_source = lambda name: F.col("s").eqNullSafe(F.col(name))
+
+    def ahead(by: list[str], keys: tuple[str, ...] = ("s",)) -> F.Column:
+        return F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
     # The last epoch of a source ends in one block: the first in that epoch's order with which the budget is met.
-    totals = dealt(counted).where("part > 0").groupBy("s", "block", "whole", "part").agg(F.sum("n_tokens").alias("n")).withColumn("order", order)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = totals.withColumn("before", before).where("before < part and before + n >= part").select("s", "block", "order", "before")
-    last = {r.s: r for r in last.collect()}
-    ends = spark.createDataFrame(
-        [(s, r.block, r.order, float(r.before)) for s, r in last.items()], T.StructType([schema["s"], T.StructField("end_block", T.LongType()), T.StructField("end_order", T.LongType()), T.StructField("before", T.DoubleType())])
-    )
-    with_end = dealt(counted).join(F.broadcast(ends.withColumnRenamed("s", "e")), F.col("source").eqNullSafe(F.col("e")) & (F.col("block") == F.col("end_block"))).withColumn("place", place)
+    blocks = dealt(counted, sources.drop("n")).where("part > 0").groupBy("s", "block", "whole", "part").agg(F.sum("n_tokens").alias("n")).withColumn("order", order)
+    blocks = materialise(blocks.withColumn("range", F.shiftright("order", 64 - RANGE_BITS)), "mix-blocks")
+    ends = blocks.groupBy("s", "range", "part").agg(F.sum("n").alias("n")).withColumn("before", ahead(["range"])).where("before < part and before + n >= part")
+    ends = ends.select(F.col("s").alias("e"), F.col("range").alias("end_range"), F.col("before").alias("before_range"))
+    ends = blocks.join(ends, same_source("e") & (F.col("range") == F.col("end_range"))).withColumn("before", F.col("before_range") + ahead(["order", "block"]))
+    ends = materialise(ends.where("before < part and before + n >= part").select(F.col("s").alias("e"), F.col("block").alias("end_block"), F.col("order").alias("end_order"), "before"), "mix-ends")
     # Documents of these blocks, one block a source; equal rows stand and fall together.
-    grouped = with_end.groupBy("s", "place", "doc_id", "part", "before").agg(F.sum("n_tokens").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stops = {r.s: r.place for r in grouped.withColumn("ahead", ahead).where("before + ahead < part").groupBy("s").agg(F.max("place").alias("place")).collect()}
-    limits = spark.createDataFrame([(s, last[s].block, last[s].order, stops.get(s)) for s in last], T.StructType([schema["s"], T.StructField("end_block", T.LongType()), T.StructField("end_order", T.LongType()), T.StructField("stop", T.LongType())]))
-    drawn = dealt(rows).join(F.broadcast(limits.withColumnRenamed("s", "e")), F.col("source").eqNullSafe(F.col("e")), "left").withColumn("order", order).withColumn("place", place)
+    within_end = dealt(counted, sources.drop("n")).join(ends, same_source("e") & (F.col("block") == F.col("end_block"))).withColumn("place", place)
+    grouped = within_end.groupBy("s", "place", "own", "part", "before").agg(F.sum("n_tokens").alias("n"))
+    stops = grouped.withColumn("ahead", ahead(["place", "own"])).where("before + ahead < part").groupBy(F.col("s").alias("t")).agg(F.max("place").alias("stop"))
+    limits = sources.drop("n").join(ends.drop("before"), same_source("e"), "left").join(stops, same_source("t"), "left").drop("e", "t")
+    drawn = dealt(rows, materialise(limits, "mix-limits")).withColumn("order", order).withColumn("place", place)
     again = F.col("end_block").isNotNull() & (
         (F.col("order") < F.col("end_order")) | ((F.col("order") == F.col("end_order")) & (F.col("block") < F.col("end_block"))) | ((F.col("block") == F.col("end_block")) & (F.col("place") <= F.col("stop")))
     )
     passes = F.col("whole") + F.coalesce(again, F.lit(False)).cast("int")
     drawn = drawn.withColumn("epoch", F.explode(F.when(passes > 0, F.sequence(F.lit(0), passes - 1)).otherwise(F.array().cast("array<int>"))))
     unit = lambda c: F.pmod(c, F.lit(2**31)) / float(2**31)
-    # A pass is a permutation of blocks, then of a block's documents.
-    within = (unit(F.xxhash64(F.lit(seed), "epoch", "block")) * F.col("blocks") + unit(F.xxhash64(F.lit(seed), "epoch", "doc_id"))) / (F.col("blocks") + 1)
+    within = (unit(F.xxhash64(F.lit(seed), "epoch", "block")) * F.col("blocks") + unit(F.xxhash64(F.lit(seed), "epoch", "own"))) / (F.col("blocks") + 1)
     position = F.least((F.col("epoch") + within) / F.greatest("repeats", F.col("epoch") + within, F.lit(1e-12)), F.lit(1.0))
     return drawn.select("doc_id", "source", "n_tokens", "weight", "epoch", "block", position.alias("position"), *(F.col(f"rest.`{c}`").alias(c) for c in keep if c not in ("doc_id", "source", "n_tokens")))
