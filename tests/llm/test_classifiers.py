@@ -30,6 +30,26 @@ def test_language_of_held_out_texts(spark):
     assert by_id[None].lang_pred == "aa" and by_id[None].held_out is False
 
 
+def test_ngrams_are_of_characters():
+    """As many as the padded text has; digits and marks count where they are asked for."""
+    from trajecta.llm.features import LETTERS, VISIBLE, ngrams
+
+    for text in ("", "x", "été 漢字", "a1!\tb"):
+        size = len(text) + 2
+        bucket, owner = ngrams([text], (2, 3), 30, VISIBLE)
+        assert len(bucket) == len(owner) == sum(max(0, size - n + 1) for n in (2, 3))
+    same = lambda a, b, table: ngrams([a], (2, 3), 30, table)[0].tolist() == ngrams([b], (2, 3), 30, table)[0].tolist()
+    assert same("A1!b", "a  b", LETTERS) and not same("a1!b", "a  b", VISIBLE) and same("a\tb", "A b", VISIBLE)
+    assert not same("é", "è", LETTERS)
+
+
+def test_label_column_of_any_name(spark):
+    rows = [(i, t, lang) for i, t, _, lang in docs()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    got = language.identify(df, label_col="label", per_language=40, landmarks=30).collect()
+    assert all(r.lang_pred == lang for r, (_, _, lang) in zip(sorted(got), sorted(rows), strict=True))
+
+
 def test_kernel_weights_equal_landmark_sums():
     import numpy as np
 
@@ -92,8 +112,39 @@ def test_toxicity_counts_all_labelled_texts(spark):
     assert [i for i in rare if got[i].predicted != 1] == []
     assert sum(got[i].predicted for i in range(1, 1600, 2)) <= 8
     bucket, texts_of, total = toxicity.count(df.join(known, "doc_id").withColumnRenamed("toxic", "label"))
-    sets = [set(toxicity.ngrams([t], toxicity.SIZES, toxicity.BITS)[0].tolist()) for _, t in rows]
+    sets = [set(toxicity.ngrams([t], toxicity.SIZES, toxicity.BITS, toxicity.VISIBLE)[0].tolist()) for _, t in rows]
     brute = np.zeros((2, 1 << toxicity.BITS), int)
     for i, s in enumerate(sets):
         brute[labels[i][1], list(s)] += 1
     assert list(total) == [800, 800] and (bucket == np.flatnonzero(brute.sum(0) >= toxicity.LEAST_TEXTS)).all() and (texts_of == brute[:, bucket]).all()
+
+
+def test_toxicity_ratios_and_regression_against_brute_force(spark, monkeypatch):
+    import math
+
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "RIDGE", 0.01)
+    monkeypatch.setattr(toxicity, "TOLERANCE", 1e-12)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(WORDS["aa"] + ["vilexq", "3!"] * (i % 3 == 0)) for _ in range(rng.randrange(2, 6)))) for i in range(150)]
+    labels = [(i, int(i % 3 == 0)) for i, _ in rows]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), "doc_id", "text", "toxic", 1000)
+    train = [(t, y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    sets = [set(toxicity.ngrams([t], toxicity.SIZES, toxicity.BITS, toxicity.VISIBLE)[0].tolist()) for t, _ in train]
+    y = np.array([y for _, y in train], float)
+    n1, n0 = y.sum(), (1 - y).sum()
+    ratio = {}
+    for b in set().union(*sets):
+        c1, c0 = sum(b in s for s, v in zip(sets, y, strict=True) if v), sum(b in s for s, v in zip(sets, y, strict=True) if not v)
+        if c1 + c0 >= toxicity.LEAST_TEXTS:
+            p, q = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
+            if p != q:
+                ratio[b] = math.log(p / q)
+    buckets, weights, intercept = model
+    assert sorted(ratio) == buckets.tolist()
+    x = np.array([[ratio[b] * (b in s) for b in buckets.tolist()] for s in sets])
+    w, b = weights / np.array([ratio[k] for k in buckets.tolist()]), intercept - math.log(y.mean() / (1 - y.mean()))
+    # at the optimum of the balanced, penalised loss its gradient is zero
+    error = (1 / (1 + np.exp(-(x @ w + b))) - y) * np.where(y == 1, 0.5 / n1, 0.5 / n0)
+    assert np.abs(x.T @ error + 0.01 * w).max() < 1e-6 and abs(error.sum()) < 1e-6

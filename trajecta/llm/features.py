@@ -6,19 +6,21 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: ASCII characters that aren't letters count as spaces.
-LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+#: What ASCII characters count as: all but letters as spaces, or only white space and control characters.
+LETTERS = np.array([c if chr(c).isalpha() else 32 for c in range(128)], np.uint32)
+VISIBLE = np.array([max(c, 32) if c != 127 else 32 for c in range(128)], np.uint32)
 
 
-def ngrams(found: list[str], sizes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text number) of every n-gram of the texts' UTF-8 bytes, in lower case, padded with spaces."""
-    data = [b" " + t.lower().encode("utf-8", "replace").translate(LETTERS) + b" " for t in found]
-    buf = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
-    text = np.repeat(np.arange(len(data)), [len(d) for d in data])
+def ngrams(found: list[str], sizes: tuple[int, ...], bits: int, ascii_as: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text number) of every n-gram of the texts' characters, in lower case, padded with spaces."""
+    data = [f" {t.lower()} ".encode("utf-32-le") for t in found]
+    buf = np.frombuffer(b"".join(data), np.uint32)
+    buf = np.where(buf < 128, ascii_as[np.minimum(buf, 127)], buf).astype(np.uint64) + np.uint64(1)
+    text = np.repeat(np.arange(len(data)), [len(d) // 4 for d in data])
     gram, buckets, owners = buf, [], []
     for n in range(1, max(sizes) + 1):
         if n > 1:
-            gram = (gram[:-1] << np.uint64(8)) | buf[n - 1 :]
+            gram = gram[:-1] * np.uint64(0x100000001B3) + buf[n - 1 :]
         if n in sizes:
             inside = text[: len(gram)] == text[n - 1 :]
             h = (gram[inside] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.features import ngrams, sample_per_class
+from trajecta.llm.features import LETTERS, ngrams, sample_per_class
 from trajecta.llm.shared import crc_of_id, map_arrow, slices, texts, valid_text
 
 SIZES = (2, 3, 4)
@@ -35,7 +35,7 @@ UNKNOWN = "und"
 def presence(found: list[str], sizes: tuple[int, ...]) -> np.ndarray:
     """Rows of 0 and 1: which buckets a text has n-grams in."""
     out = np.zeros(len(found) << BITS, bool)
-    bucket, text = ngrams(found, sizes, BITS)
+    bucket, text = ngrams(found, sizes, BITS, LETTERS)
     out[(text << BITS) | bucket] = True
     return out.reshape(len(found), 1 << BITS)
 

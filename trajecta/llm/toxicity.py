@@ -1,15 +1,17 @@
 """Toxicity scores: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed n-grams. Each is scaled by the log ratio of its smoothed shares among
-toxic and other texts, and a logistic regression is trained on the scaled features. Only the n-grams that
+Features are the presence of hashed n-grams of characters, digits and punctuation included. Each is scaled by the
+log ratio of its smoothed shares among toxic and other texts, and a logistic regression is trained on the scaled features. Only the n-grams that
 tell the classes apart best are kept, so a text's score is a sum over few table hits.
 
 N-grams are counted in all labelled training texts, in a distributed aggregate; its result is bounded by the buckets.
-The regression uses a bounded sample, ``per_class`` texts of each label, of which the driver gets the chosen n-grams
-only; the intercept is set for the labels' real frequencies.
+The regression uses a bounded sample, ``per_class`` texts of each label, as sparse vectors that stay on the executors: L-BFGS
+sums gradients there and stops by tolerance. The driver holds what is as long as the features. The intercept is set for
+the labels' real frequencies.
 
 Defined results: a null or empty text has no n-grams and gets the intercept's score; without both labels every
-score is the share of label 1 (0.5 if nothing is labelled); labels other than 0 and 1, and null ids, are not used.
+score is the share of label 1 (0.5 if nothing is labelled); labels other than 0 and 1, and null ids, are not used; repeated rows
+count each; an id that is labelled both ways counts for both labels.
 """
 
 from __future__ import annotations
@@ -19,24 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trajecta.llm.features import ngrams, sample_per_class
-from trajecta.llm.shared import crc_of_id, map_arrow, slices, texts
+from trajecta.llm.features import VISIBLE, ngrams, sample_per_class
+from trajecta.llm.shared import crc_of_id, map_arrow, materialise, slices, texts
 
-SIZES = (3, 4, 5)
+#: The longest hold most word stems.
+SIZES = (3, 5, 7)
 BITS = 22
 PER_CLASS = 2500
 FEATURES = 40_000
 #: Texts that an n-gram must be in to be a feature.
 LEAST_TEXTS = 4
-#: Gradient steps of the regression.
-STEPS = 1000
+#: The regression's penalty, tolerance and most steps.
+RIDGE, TOLERANCE, STEPS = 1e-5, 1e-6, 200
 #: Features on each side that give a weight to one that isn't in the sample.
 NEAR = 100
-#: Features of the sample that are a dense matrix at a time.
-BLOCK = 2000
 
 
 def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +56,7 @@ def count(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for whole in batches:
             for batch in slices(whole, "text", 500_000):
                 for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    bucket, _ = ngrams([text], SIZES, BITS)
+                    bucket, _ = ngrams([text], SIZES, BITS, VISIBLE)
                     place = np.arange(len(bucket), dtype=np.int32)
                     last[bucket] = place
                     texts_of[label, bucket[last[bucket] == place]] += 1
@@ -83,53 +87,16 @@ def choose(known: np.ndarray, texts_of: np.ndarray, total: np.ndarray) -> tuple[
     return known[best], ratio[best]
 
 
-def products(ends: np.ndarray, column: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    """Products of the texts' scaled rows, a block of features and of texts at a time."""
-    n = len(ends) - 1
-    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(ends))
-    out = np.zeros((n, n), np.float32)
-    for low in range(0, len(scale), BLOCK):
-        width = min(BLOCK, len(scale) - low)
-        hit = np.flatnonzero((column >= low) & (column < low + width))
-        dense = np.zeros((n, width), np.float32)
-        dense[row[hit], column[hit] - low] = scale[column[hit]]
-        for start in range(0, n, 500):
-            stop = min(start + 500, n)
-            out[start:stop, :stop] += dense[start:stop] @ dense[:stop].T
-    for start in range(0, n, 500):
-        stop = min(start + 500, n)
-        out[:start, start:stop] = out[start:stop, :start].T
-    return out
-
-
-def train(labels: np.ndarray, ends: np.ndarray, column: np.ndarray, scale: np.ndarray, share: float) -> tuple[np.ndarray, float]:
-    """(weights, intercept) from the labels and the features of texts, those of text i being column[ends[i] : ends[i + 1]];
-    ``share`` is that of label 1."""
-    product = products(ends, column, scale)
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    # logistic regression on presence * ratio, balanced classes, by accelerated gradient steps; as they start at 0, weights
-    # stay sums of the texts' rows, and steps are taken on the sums' factors
-    w, b, v, vb = np.zeros(len(labels)), 0.0, np.zeros(len(labels)), 0.0
-    balance = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
-    step = 4.0 / (product.diagonal().max() + 1)
-    for k in range(STEPS):
-        yw, yb = w + k / (k + 3) * (w - v), b + k / (k + 3) * (b - vb)
-        z = product @ yw.astype(np.float32) + yb
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * balance
-        v, vb = w, b
-        w = yw - step * (error + 1e-6 * yw)
-        b = yb - step * error.sum()
-    weights = np.zeros(len(scale))
-    for i, x in enumerate(w):
-        weights[column[ends[i] : ends[i + 1]]] += x
-    weights *= scale
-    # features that no sampled text has get the mean weight of those next to them in ratio
-    seen = np.bincount(column, minlength=len(scale)) > 0
-    order = np.flatnonzero(seen)[np.argsort(scale[seen], kind="stable")]
-    sums, place = np.concatenate([[0], np.cumsum(weights[order])]), np.searchsorted(scale[order], scale[~seen])
+def filled(weights: np.ndarray, ratio: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Weights in which features that no sampled text has get the mean weight of those next to them in ratio."""
+    order = np.flatnonzero(seen)[np.argsort(ratio[seen], kind="stable")]
+    if not len(order):
+        return weights
+    sums, place = np.concatenate([[0], np.cumsum(weights[order])]), np.searchsorted(ratio[order], ratio[~seen])
     low, high = np.clip(place - NEAR, 0, max(0, len(order) - NEAR)), np.clip(place + NEAR, min(NEAR, len(order)), len(order))
-    weights[~seen] = np.maximum((sums[high] - sums[low]) / (high - low), 0)
-    return weights * scale, b + math.log(share / (1 - share))
+    out = weights.copy()
+    out[~seen] = np.maximum((sums[high] - sums[low]) / (high - low), 0)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -150,28 +117,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     if not of_label.all() or not len(chosen):
         return *none, math.log(share / (1 - share))
     sample = sample_per_class(usable, label_col, per_class, id_col)
-    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+    vectors = materialise(scaled(rows.join(F.broadcast(sample), "doc_id"), chosen, scale), "toxicity-sample")
+    n0, n1 = (vectors.where(F.col("label") == k).count() for k in (0, 1))
+    if not n0 or not n1:
+        return *none, math.log(share / (1 - share))
+    balanced = vectors.withColumn("weight", F.when(F.col("label") == 1, 0.5 / n1).otherwise(0.5 / n0))
+    regression = LogisticRegression(weightCol="weight", regParam=RIDGE, tol=TOLERANCE, maxIter=STEPS, standardization=False).fit(balanced)
+    weights = regression.coefficients.toArray()
+    return chosen, filled(weights, scale, weights != 0) * scale, regression.intercept + math.log(share / (1 - share))
+
+
+def scaled(rows: DataFrame, chosen: np.ndarray, scale: np.ndarray) -> DataFrame:
+    """``label, features`` of rows with ``label, text``: sparse vectors of the log ratios of the features that a text has."""
+    shared = rows.sparkSession.sparkContext.broadcast((chosen, scale))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen, scale = shared.value
         number = np.full(1 << BITS, -1, np.int32)
-        number[shared.value] = np.arange(len(shared.value))
+        number[chosen] = np.arange(len(chosen))
         for whole in batches:
             for batch in slices(whole, "text", 500_000):
-                for i, text in enumerate(batch.column("text").to_pylist()):
-                    column = number[ngrams([text], SIZES, BITS)[0]]
-                    column = np.unique(column[column >= 0])
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 1), pa.array([int(batch.column("label")[i].as_py())]), pa.array([column.tobytes()])], names=["doc_id", "label", "columns"])
-
-    got = map_arrow(rows.join(F.broadcast(sample), "doc_id"), run, "doc_id long, label long, columns binary").toArrow()
-    label = got.column("label").to_numpy()
-    order = np.lexsort((label, got.column("doc_id").to_numpy()))
-    columns = [np.frombuffer(got.column("columns")[int(i)].as_buffer(), np.int32) for i in order]
-    label = label[order].astype(np.float64)
-    if not 0 < label.sum() < len(label):
-        return *none, math.log(share / (1 - share))
-    ends = np.concatenate([[0], np.cumsum([len(c) for c in columns])])
-    weights, intercept = train(label, ends, np.concatenate(columns), scale, share)
-    return chosen, weights, intercept
+                found = []
+                for text in batch.column("text").to_pylist():
+                    column = number[ngrams([text], SIZES, BITS, VISIBLE)[0]]
+                    found.append(np.unique(column[column >= 0]))
+                flat = np.concatenate(found)
+                edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.int32())
+                n = len(found)
+                vector = [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, len(chosen), np.int32)), pa.ListArray.from_arrays(edges, pa.array(flat, pa.int32())), pa.ListArray.from_arrays(edges, pa.array(scale[flat]))]
+                features = pa.StructArray.from_arrays(vector, names=["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([batch.column("label").cast(pa.float64()), features], names=["label", "features"])
+
+    return map_arrow(rows.select("label", "text"), run, T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())]))
 
 
 def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
@@ -184,7 +161,7 @@ def score(docs: DataFrame, id_col: str, text_col: str, model: tuple[np.ndarray,
         number[chosen] = np.arange(len(chosen))
         for whole in batches:
             for batch in slices(whole, "text", 1_000_000):
-                bucket, text = ngrams(batch.column("text").to_pylist(), SIZES, BITS)
+                bucket, text = ngrams(batch.column("text").to_pylist(), SIZES, BITS, VISIBLE)
                 hit = number[bucket] >= 0
                 bucket, text = distinct(bucket[hit], text[hit])
                 z = np.bincount(text, weights[number[bucket]], batch.num_rows) + intercept
