@@ -39,3 +39,33 @@ def test_digests_and_repeated_rows(spark):
 
 def test_empty_table(spark):
     assert bpe.digests(bpe.decode(bpe.encode(spark.createDataFrame([], "doc_id long, text string")))).count() == 0
+
+
+def merged(word: bytes) -> list[int]:
+    """Byte pair encoding by the book: the pair of the lowest rank is merged until no pair has one."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        ranked = [(RANKS[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in RANKS]
+        if not ranked:
+            return [RANKS[p] for p in parts]
+        k = min(ranked)[1]
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+
+def test_ids_are_merges_by_rank(spark):
+    import regex
+
+    given = [t for t in samples() if t and len(t) < 1000]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(df).collect()}
+    for i, text in enumerate(given):
+        assert got[i] == [k for word in regex.findall(P.PATTERN, text) for k in merged(word.encode())]
+
+
+def test_bytes_that_are_not_text_and_ids_that_are_not_numbers(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, b"a\xffb")], "doc_id int, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    assert [list(r.ids) for r in bpe.encode(df).collect()] == [LIBRARY.encode_ordinary("a\ufffdb")]
+    with pytest.raises(TypeError):
+        bpe.encode(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

@@ -41,3 +41,21 @@ def test_large_components_are_exact(spark):
 
 def test_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_one_wave_is_held_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(topk, "WAVE_NUMBERS", 100)
+    live, most, given = set(), [], type(spark.sparkContext).broadcast
+
+    def broadcast(context, value):
+        made = given(context, value)
+        live.add(id(made))
+        most.append(len(live))
+        destroy = made.destroy
+        made.destroy = lambda *a: (live.discard(id(made)), destroy(*a))
+        return made
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    df = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 3.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    assert topk.top_k(df, F.col("vec_id") % 4 == 0, k=2).count() == 200
+    assert len(most) > 5 and max(most) == 1 and not live

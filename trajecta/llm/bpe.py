@@ -10,12 +10,12 @@ grows with distinct words and not with tokens:
    encoded once, where all its uses meet, and its ids go back to the chunks that use it;
 3. texts and encoded words meet by chunk, and the ids are reassembled by position.
 
-A frequent word is sent at most once per chunk, so no key is hot; the number of buckets follows the
-session's shuffle partitions, so a bucket's words fit in a task. Decoding looks ids up in the token-byte
-table, whose size is the vocabulary's and does not depend on the data.
+A frequent word is sent at most once per chunk, so no key is hot; the number of buckets follows the input's
+size, so a bucket's words fit in a task. Decoding joins the token-byte
+table, whose size is the vocabulary's and does not depend on the data: it is broadcast, as an array that ids index.
 
-Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded each
-for itself; a null id column value is carried through; other columns of the input are ignored.
+Defined results: a null or empty text has no ids and decodes to no bytes; bytes that aren't UTF-8 are read as U+FFFD; repeated
+rows are encoded each for itself; a null id column value is carried through; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.llm.shared import map_arrow, materialise, slices, texts
+from trajecta.llm.shared import dealt, long_id, map_arrow, materialise, partitions_for, slices, texts
 
 #: A chunk is closed when it reaches either bound; both keep a task's memory fixed.
 CHUNK_TOKENS = 8_000_000
@@ -185,7 +185,7 @@ def split_chunks(df: DataFrame, pattern: str, fast: bool, buckets: int, chunk_to
 SPLIT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("at", pa.binary()), ("sizes", pa.binary()), ("packed", pa.binary())])
 
 
-def encode_words(words: DataFrame, ranks_file, pattern: str) -> DataFrame:
+def encode_words(words: DataFrame, ranks_file, pattern: str, partitions: int) -> DataFrame:
     """Word lists -> (chunk, at, sizes and packed ids). All uses of a word meet in its bucket, which encodes it once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +212,10 @@ def encode_words(words: DataFrame, ranks_file, pattern: str) -> DataFrame:
                     names=["chunk", "at", "sizes", "packed"],
                 )
 
-    return map_arrow(words.repartition("bucket").sortWithinPartitions("bucket"), run, "chunk long, at binary, sizes binary, packed binary")
+    return map_arrow(dealt(words, partitions, "bucket").sortWithinPartitions("bucket"), run, "chunk long, at binary, sizes binary, packed binary")
 
 
-def reassemble(docs: DataFrame, words: DataFrame) -> DataFrame:
+def reassemble(docs: DataFrame, words: DataFrame, partitions: int) -> DataFrame:
     """Puts the words' ids back at their positions; both inputs meet by chunk, the word list first."""
     both = docs.select("chunk", F.lit(1).alias("kind"), "doc_ids", F.lit(None).cast("binary").alias("at"), "sizes", "packed").unionByName(
         words.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("array<bigint>").alias("doc_ids"), "at", "sizes", "packed")
@@ -253,7 +253,7 @@ def reassemble(docs: DataFrame, words: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(r["doc_ids"][first:last], pa.int64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
                     first = last
 
-    return map_arrow(both.repartition("chunk").sortWithinPartitions("chunk", "kind"), run, "doc_id long, ids array<int>")
+    return map_arrow(dealt(both, partitions, "chunk").sortWithinPartitions("chunk", "kind"), run, "doc_id long, ids array<int>")
 
 
 def encode(
@@ -271,10 +271,11 @@ def encode(
     with open(vocabulary or own_path, "rb") as file:
         ranks_file = df.sparkSession.sparkContext.broadcast(file.read())
     pattern, fast = pattern or own_pattern, pattern in (None, own_pattern)
-    buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = materialise(split_chunks(texts(df, id_col, text_col), pattern, fast, buckets, chunk_tokens, chunk_words), "bpe-chunks")
-    words = encode_words(split.where(F.col("bucket").isNotNull()).drop("doc_ids"), ranks_file, pattern)
-    return reassemble(split.where(F.col("bucket").isNull()), words)
+    rows = texts(df, id_col, text_col).withColumn("doc_id", long_id(df, id_col))
+    partitions = partitions_for(rows)
+    split = materialise(split_chunks(rows, pattern, fast, 4 * partitions, chunk_tokens, chunk_words), "bpe-chunks")
+    words = encode_words(split.where(F.col("bucket").isNotNull()).drop("doc_ids"), ranks_file, pattern, partitions)
+    return reassemble(split.where(F.col("bucket").isNull()), words, partitions)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:

@@ -135,3 +135,20 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(start, stop - start)
         start, done = stop, int(ends[stop - 1])
+
+
+#: Bytes of a stored input for which a shuffle gets a partition.
+PARTITION_BYTES = 64_000_000
+
+
+def partitions_for(df: DataFrame) -> int:
+    """How many partitions a shuffle of about all of ``df`` needs: as the session says, or more for larger inputs."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(own, size // PARTITION_BYTES) if size < 2**60 else own  # larger: unknown
+
+
+def dealt(df: DataFrame, partitions: int, *columns: str) -> DataFrame:
+    """``df`` by key; a number that isn't the session's own is given, which adaptive execution then keeps."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *columns) if partitions > own else df.repartition(*columns)

@@ -6,8 +6,9 @@ candidate survives only if its partial score plus the product of the norms of th
 (no remaining part can add more) reaches the query's k-th best score so far, and survivors are compacted.
 Every candidate meets every query: pruning never changes the result.
 
-Queries are a stated set. They go to the candidates' tasks in waves of bounded size, so what is broadcast
-doesn't grow with the table; each task returns k rows per query, and the best of these are ranked.
+Queries are a stated set. They go to the candidates' tasks in waves of bounded size; each task returns k rows per
+query, and the best of these are ranked and written before the next wave's queries are read, so neither the driver nor
+an executor holds more than one wave however many there are.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do
 null ids; rows with the query's id are its own; vectors of another length than the query's aren't compared
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajecta.llm.shared import map_arrow
+from trajecta.llm.shared import long_id, map_arrow, materialise
 
 SCALE = 256
 DIMENSIONS = 16
@@ -99,7 +100,7 @@ def exact_block(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, i
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     whole = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & whole).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    return df.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & whole).select(long_id(df, id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -139,10 +140,12 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
                     names=["query_id", "number", "vec_id", "score"],
                 )
 
-        some = map_arrow(rows, run, "query_id long, number int, vec_id long, score long").withColumn("wave", F.lit(wave))
+        order = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
+        ranked = map_arrow(rows, run, "query_id long, number int, vec_id long, score long").withColumn("rank", F.row_number().over(order))
+        some = materialise(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk-wave")
+        shared.destroy()
         found = some if found is None else found.unionByName(some)
-    order = Window.partitionBy("query_id", "wave", "number").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 ORACLE_SQL = """
