@@ -56,6 +56,11 @@ def hashed_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> Dat
     return df.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % folds).cast("int"))
 
 
+def position_filter(df: DataFrame, start: int, stop: int | None = None, id_col: str = "id") -> DataFrame:
+    """Rows at positions ``start`` (from 0) up to but not including ``stop``; the id is the position, as ``with_row_ids`` numbers rows."""
+    return df.where((F.col(id_col) >= start) & (F.lit(True) if stop is None else F.col(id_col) < stop))
+
+
 def fold_filter(df: DataFrame, fold: int, held_out: bool) -> DataFrame:
     return df.where((F.col("fold") == fold) if held_out else (F.col("fold") != fold))
 

@@ -72,7 +72,9 @@ def resample(df: DataFrame, clock: str, points: int) -> DataFrame:
     """``id, k, rx, ry``: x and y interpolated at ``points`` even places of the clock column (time or running length).
 
     Each segment makes the grid points that fall into it, so there is no range join: a point belongs to the last
-    segment that begins at or before it. A clock that stands still repeats the last position."""
+    segment that begins at or before it. Along a clock that stands still the positions are evenly spaced."""
+    stands = F.max(clock).over(whole()) - F.min(clock).over(whole()) <= 1e-9
+    df = df.withColumn(clock, F.when(stands, F.col("pos").cast("double")).otherwise(F.col(clock)))
     end = F.max(clock).over(whole())
     begin = F.min(clock).over(whole())
     seg = df.withColumns({"c0": F.col(clock), "c1": F.lead(clock).over(order()), "x1": F.lead("x").over(order()), "y1": F.lead("y").over(order()), "cb": begin, "ce": end})

@@ -11,9 +11,17 @@ from trajecta.functions.exprs import clip, logit
 def roc_points(df: DataFrame, label: str, score: str, *keys: str) -> DataFrame:
     """``keys, score, tp, fp, p, n``: running counts by falling score; equal scores are one point."""
     points = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col(label) == 1).alias("dp"), F.count_if(F.col(label) == 0).alias("dn"))
-    falling = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    total = Window.partitionBy(*keys)
-    return points.select(*keys, "score", F.sum("dp").over(falling).alias("tp"), F.sum("dn").over(falling).alias("fp"), "dp", "dn", F.sum("dp").over(total).alias("p"), F.sum("dn").over(total).alias("n"))
+    if keys:
+        falling, total = Window.partitionBy(*keys).orderBy(F.desc("score")), Window.partitionBy(*keys)
+        return points.select(*keys, "score", F.sum("dp").over(falling).alias("tp"), F.sum("dn").over(falling).alias("fp"), "dp", "dn", F.sum("dp").over(total).alias("p"), F.sum("dn").over(total).alias("n"))
+    # without keys, ranges of scores are summed first, so that no task ranks all of them; probabilities make a thousand ranges
+    points = points.withColumn("range", F.floor(F.col("score") * 1000))
+    ranges = points.groupBy("range").agg(F.sum("dp").alias("rp"), F.sum("dn").alias("rn"))
+    above, everything = Window.partitionBy().orderBy(F.desc("range")), Window.partitionBy()
+    ranges = ranges.select(F.col("range").alias("r"), *((F.sum(f"r{c}").over(above) - F.col(f"r{c}")).alias(f"before_{c}") for c in "pn"), F.sum("rp").over(everything).alias("p"), F.sum("rn").over(everything).alias("n"))
+    falling = Window.partitionBy("range").orderBy(F.desc("score"))
+    joined = points.join(ranges, F.col("range").eqNullSafe(F.col("r")))
+    return joined.select("score", (F.col("before_p") + F.sum("dp").over(falling)).alias("tp"), (F.col("before_n") + F.sum("dn").over(falling)).alias("fp"), "dp", "dn", "p", "n")
 
 
 def auc(df: DataFrame, label: str, score: str, *keys: str) -> DataFrame:
@@ -80,6 +88,23 @@ def weighted_mean(scores: dict[str, float]) -> Column:
     return sum(F.col(c) * w for c, w in used.items()) / sum(used.values())
 
 
+def rank_average(df: DataFrame, weights: dict[str, float], id_col: str = "id", name: str = "score") -> DataFrame:
+    """``id`` and the weighted mean of the score columns' ranks (average of ties, as shares of the rows). Weights at or below 0 are
+    skipped, and their sum must be positive."""
+    used = {c: float(w) for c, w in weights.items() if w > 0}
+    if not used:
+        raise ValueError("the weights' sum must be positive")
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("model"), F.lit(w).alias("weight"), F.col(c).cast("double").alias("value")) for c, w in used.items())))
+    ranked = rank_percent(df.select(id_col, each.alias("m")).select(id_col, "m.*"), "value", "model")
+    return ranked.groupBy(id_col).agg((F.sum(F.col("rank_pct") * F.col("weight")) / sum(used.values())).alias(name))
+
+
+def partial_auc_weights(scores: dict[str, float], floor: float = 1e-6) -> dict[str, float]:
+    """Weights in proportion to the models' partial areas, each at least ``floor``."""
+    raw = {name: max(v, floor) for name, v in scores.items()}
+    return {name: v / sum(raw.values()) for name, v in raw.items()}
+
+
 def calibrated(p: Column, slope: float, intercept: float, share: float = 0.7, low: float = 0.001, high: float = 0.999) -> Column:
     """Platt scaling of the logit, blended with the raw probability and cut to the output range."""
     platt = 1 / (1 + F.exp(-(logit(p) * slope + intercept)))

@@ -1,7 +1,11 @@
 """Nearest neighbours and cluster assignment over vectors (``id, vector`` and any labels).
 
 Exact search sends the queries to the candidates' tasks in waves of bounded size; each task keeps k rows per
-query by matrix products, so distances of pairs are never rows. ``approximate`` uses random projections.
+query by matrix products, so distances of pairs are never rows. Where there are several waves, each one's result is checkpointed
+and its queries freed before the next. ``approximate`` uses random projections.
+
+Rows without an id, and vectors that are missing, empty or hold missing or infinite components, take no part; queries meet
+candidates of their own length only.
 """
 
 from __future__ import annotations
@@ -11,25 +15,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajecta.operators import encode
+from trajecta.sources import work_folder
+
 #: Numbers in a wave of queries, and candidates that are compared at once.
 WAVE_NUMBERS, TOGETHER = 2_000_000, 4096
 
 
+def usable(df: DataFrame, *keep: str) -> DataFrame:
+    whole = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col("id").isNotNull() & (F.size("vector") > 0) & whole).select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"), *keep)
+
+
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, same: bool = False) -> DataFrame:
     """``query_id, rank, id, distance``: the k candidates of least Euclidean distance, ties to the smaller id.
     With ``same`` a candidate that has the query's id isn't its neighbour."""
-    numbers, d = queries.agg(F.sum(F.size("vector")), F.max(F.size("vector"))).first()
-    waves = max(1, math.ceil((numbers or 0) / max(WAVE_NUMBERS, d or 1)))
+    queries, candidates = usable(queries), usable(candidates)
+    sizes = [r[0] for r in queries.select(F.size("vector")).distinct().collect()]
+    found = None
+    for d in sizes:
+        some = _nearest(queries.where(F.size("vector") == d), candidates.where(F.size("vector") == d), d, k, same)
+        found = some if found is None else found.unionByName(some)
+    return queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, distance double") if found is None else found
+
+
+def _nearest(queries: DataFrame, candidates: DataFrame, d: int, k: int, same: bool) -> DataFrame:
+    spark = queries.sparkSession
+    waves = max(1, math.ceil(queries.count() * d / max(WAVE_NUMBERS, d)))
     found = None
     for wave in range(waves):
         own = queries if waves == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave)
-        rows = own.select("id", F.col("vector").cast("array<double>").alias("vector")).collect()
-        shared = queries.sparkSession.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], np.float64).reshape(len(rows), d or 0)))
+        rows = own.collect()
+        shared = spark.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.vector for r in rows], np.float64).reshape(len(rows), d)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
@@ -60,10 +83,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, same: bool = Fals
             real = np.isfinite(best_d)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(1))), pa.array(best_i[real]), pa.array(best_d[real])], names=["query_id", "id", "distance"])
 
-        some = candidates.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query_id long, id long, distance double")
+        order = Window.partitionBy("query_id").orderBy("distance", "id")
+        ranked = candidates.mapInArrow(run, "query_id long, id long, distance double").withColumn("rank", F.row_number().over(order))
+        some = ranked.where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+        if waves > 1:
+            spark.sparkContext.setCheckpointDir(work_folder(spark))
+            some = some.checkpoint()
+            shared.destroy()
         found = some if found is None else found.unionByName(some)
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    return found
 
 
 def approximate(df: DataFrame, k: int, radius: float, bucket: float, tables: int = 5, seed: int = 42) -> DataFrame:
@@ -101,3 +129,50 @@ def neighbour_features(neighbours: DataFrame, labels: DataFrame, depths: tuple[i
     return rows.groupBy("query_id").agg(
         *(within(k, "distance").alias(f"dist_{k}_mean") for k in depths), *(within(k, "label").alias(f"label_mean_{k}") for k in depths), F.stddev_pop("distance").alias("dist_std"), pos.alias("pos_dist_min"), neg.alias("neg_dist_min"), (neg / (pos + 1e-3)).alias("neg_pos_ratio")
     )
+
+
+def knn_block(df: DataFrame, splits: list[str], folds: int = 5) -> DataFrame:
+    """``id`` and 13 + one column a split of rows (id, vector, split, label, fold). Distances are among all rows, and to the nearest
+    row of each split; label columns are of the 10 nearest labelled rows, for labelled rows those of the other folds. A class
+    that isn't among them counts as far as the last of them, for labelled rows as the last of the fold's rows."""
+    rows = usable(df, "split", "label", "fold")
+    depths = (3, 5, 10, 20)
+    within = lambda k, c: F.avg(F.when(F.col("rank") <= k, F.col(c)))
+    out = nearest(rows, rows, 20, same=True).groupBy(F.col("query_id").alias("id")).agg(
+        F.min("distance").alias("knn_dist_1"), *(within(k, "distance").alias(f"knn_dist_{k}_mean") for k in depths), F.stddev_pop(F.when(F.col("rank") <= 10, F.col("distance"))).alias("knn_dist_std_10")
+    )
+    for split in splits:
+        closest = nearest(rows, rows.where(F.col("split") == split), 1, same=True)
+        out = out.join(closest.select(F.col("query_id").alias("id"), F.col("distance").alias(f"knn_{split}_dist_min")), "id", "left")
+    labelled, rest = rows.where("label is not null"), rows.where("label is null")
+    parts = [nearest(labelled.where(F.col("fold") == k), labelled.where(F.col("fold") != k), 10) for k in range(folds)]
+    found = encode.reduce(lambda a, b: a.unionByName(b), [*parts, nearest(rest, labelled, 10)])
+    found = found.join(labelled.select("id", "label"), "id").join(rows.select(F.col("id").alias("query_id"), F.when(F.col("label").isNotNull(), F.col("fold")).alias("fold")), "query_id")
+    nearest_of = lambda y: F.min(F.when(F.col("label") == y, F.col("distance")))
+    label = found.groupBy(F.col("query_id").alias("id"), "fold").agg(
+        *(within(k, "label").alias(f"knn_train_label_mean_{k}") for k in (3, 5, 10)), F.stddev_pop("label").alias("knn_train_label_std_10"), nearest_of(1).alias("pos"), nearest_of(0).alias("neg"), F.max("distance").alias("last")
+    )
+    furthest = label.where("fold is not null").groupBy("fold").agg(F.max("last").alias("furthest"))
+    label = label.join(furthest, "fold", "left").withColumn("missing", F.coalesce("furthest", "last"))
+    pos, neg = F.coalesce("pos", "missing"), F.coalesce("neg", "missing")
+    kept = [f"knn_train_label_mean_{k}" for k in (3, 5, 10)] + ["knn_train_label_std_10"]
+    return out.join(label.select("id", *kept, pos.alias("knn_train_pos_dist_min"), neg.alias("knn_train_neg_dist_min"), (neg / (pos + 1e-3)).alias("knn_neg_pos_ratio")), "id", "left")
+
+
+def fit_clusters(df: DataFrame, k: int, seed: int = 42, iterations: int = 50) -> list[list[float]]:
+    """Centres of a K-means fit, in the order of their components; as many as there are different vectors at most."""
+    rows = usable(df).select(array_to_vector("vector").alias("features"))
+    centres = KMeans(k=k, seed=seed, maxIter=iterations).fit(rows).clusterCenters()
+    return sorted([float(x) for x in c] for c in centres)
+
+
+def cluster_block(df: DataFrame, centres: list[list[float]], prefix: str, splits: list[str]) -> DataFrame:
+    """``id`` and 9 + one column a split of rows (id, vector, split, label, fold): cluster, its sizes, distance to the centre, density,
+    and the cluster's label statistics, for labelled rows over the other folds. A cluster without labels there gets the overall ones."""
+    rows = assign(usable(df, "split", "label", "fold"), centres)
+    rows = rows.withColumn("fold", F.when(F.col("label").isNotNull(), F.col("fold")).otherwise(-1))
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size_all"), *(F.count_if(F.col("split") == s).alias(f"size_{s}") for s in splits))
+    stats = encode.out_of_fold_stats(rows, "cluster", "label").join(sizes, "cluster")
+    made = {"id": F.col("cluster").cast("double"), "size_all": F.col("size_all"), **{f"size_{s}": F.col(f"size_{s}") for s in splits}, "distance_to_center": F.col("centre_distance"), "density_proxy": 1 / (F.col("centre_distance") + 1e-3)}
+    made |= {c: F.col(c) for c in ("target_mean", "target_std", "label_entropy", "pos_count", "neg_count")}
+    return stats.select("id", *(v.cast("double").alias(f"{prefix}_{k}") for k, v in made.items()))

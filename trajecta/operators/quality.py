@@ -41,6 +41,32 @@ def usable_columns(df: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if c in kept]
 
 
+#: Parts of the names of reusable-layer columns that the final model does without.
+PRUNED_NAMES = ("q10", "q90", "pause_", "hover_to_center")
+
+
+def named_prune(columns: list[str], parts: tuple[str, ...] = PRUNED_NAMES) -> list[str]:
+    """The columns whose names hold none of the parts."""
+    return [c for c in columns if not any(p in c for p in parts)]
+
+
+def noise(df: DataFrame, columns: list[str], most_missing: float = 0.95, most_common: float = 0.99) -> DataFrame:
+    """``column_name, missing_share, top_share`` (of the most frequent value among those present), ``twin`` (the first column of equal
+    values everywhere) and ``noisy``: mostly missing, near-constant or a duplicate. Values are counted per column, and columns
+    are equal if two sums over hashes of their values with the rows' own hashes agree."""
+    own = F.xxhash64(*columns)
+    sums = df.withColumn("__own", own).agg(F.count("*").alias("n"), *(F.count(c).alias(f"k{i}") for i, c in enumerate(columns)), *(F.bit_xor(F.xxhash64("__own", F.col(c).cast("string"))).alias(f"h{i}") for i, c in enumerate(columns)))
+    rows = sums.select(F.inline(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("column_name"), F.col("n"), F.col(f"k{i}").alias("k"), F.col(f"h{i}").alias("h")) for i, c in enumerate(columns)))))
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in columns))).alias("x")).select("x.*").where("v is not null")
+    top = values.groupBy("column_name", "v").agg(F.count("*").alias("c")).groupBy("column_name").agg(F.max("c").alias("top"))
+    # one row a column from here on
+    first = F.first("column_name").over(Window.partitionBy("h").orderBy("place"))
+    made = rows.withColumn("first", first).join(top, "column_name", "left").select(
+        "column_name", (1 - F.col("k") / F.col("n")).alias("missing_share"), (F.col("top") / F.col("k")).alias("top_share"), F.when(F.col("first") != F.col("column_name"), F.col("first")).alias("twin")
+    )
+    return made.withColumn("noisy", flag((F.col("missing_share") > most_missing) | (F.col("top_share") > most_common) | F.col("twin").isNotNull()))
+
+
 def select_or_null(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns in this order; those that the table lacks are missing doubles."""
     return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in columns))

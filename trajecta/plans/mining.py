@@ -206,10 +206,53 @@ def knn_self(t: Tables) -> DataFrame:
     return rounded(neighbours.nearest(vectors(t), vectors(t), 5, same=True), "query_id", "rank", "id")
 
 
-@query("knn_cross", f"WITH {sql_knn(3, 'q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0')} SELECT query_id, rank, id, {s6('d', 'distance')} FROM kn")
+@query("knn_cross", f"WITH {sql_knn(3, 'q.vec_id % 3 <> c.vec_id % 3')} SELECT query_id, rank, id, {s6('d', 'distance')} FROM kn")
 def knn_cross(t: Tables) -> DataFrame:
+    """Each split's rows against the other splits'."""
     v = vectors(t)
-    return rounded(neighbours.nearest(v.where("id % 10 = 0"), v.where("id % 10 <> 0"), 3), "query_id", "rank", "id")
+    parts = [neighbours.nearest(v.where(F.col("id") % 3 == k), v.where(F.col("id") % 3 != k), 3) for k in range(3)]
+    return rounded(encode.reduce(lambda a, b: a.unionByName(b), parts), "query_id", "rank", "id")
+
+
+def blocks(t: Tables) -> DataFrame:
+    """Vectors in three splits, of which the first is labelled and dealt into folds."""
+    split = F.expr(SPLIT.replace("doc_id", "id"))
+    return vectors(t).select("id", "vector", split.alias("split"), F.when(F.col("id") % 3 == 0, flag(F.col("label") < 5)).alias("label"), (F.col("id") / 3).cast("int").alias("place")).withColumn("fold", F.col("place") % 5)
+
+
+BLOCK = f"em AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, {SPLIT.replace('doc_id', 'vec_id')} AS split, CASE WHEN vec_id % 3 = 0 THEN CAST(label < 5 AS INTEGER) END AS label, CASE WHEN vec_id % 3 = 0 THEN (vec_id // 3) % 5 ELSE -1 END AS fold FROM embeddings)"
+BLOCK_KNN = f"""WITH {BLOCK}, pd AS (SELECT q.id, c.id AS cid, c.split AS csplit, list_distance(q.v, c.v) AS d FROM em q JOIN em c ON q.id <> c.id), pr AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, cid) AS rank FROM pd),
+da AS (SELECT id, min(d) AS d1, {', '.join(f'avg(d) FILTER (WHERE rank <= {k}) AS d{k}m' for k in (3, 5, 10, 20))}, stddev_pop(d) FILTER (WHERE rank <= 10) AS ds, {', '.join(f"min(d) FILTER (WHERE csplit = '{s}') AS m_{s}" for s in SPLITS)} FROM pr GROUP BY id),
+lp AS (SELECT q.id, q.fold, c.label, list_distance(q.v, c.v) AS d, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, c.v), c.id) AS rank FROM em q JOIN em c ON c.label IS NOT NULL AND q.fold <> c.fold),
+la AS (SELECT id, fold, {', '.join(f'avg(label) FILTER (WHERE rank <= {k}) AS l{k}' for k in (3, 5, 10))}, stddev_pop(label) AS ls, min(d) FILTER (WHERE label = 1) AS p, min(d) FILTER (WHERE label = 0) AS n, max(d) AS last FROM lp WHERE rank <= 10 GROUP BY id, fold),
+lm AS (SELECT *, CASE WHEN fold >= 0 THEN max(last) OVER (PARTITION BY fold) ELSE last END AS miss FROM la), lf AS (SELECT *, coalesce(p, miss) AS pp, coalesce(n, miss) AS nn FROM lm)
+"""
+
+
+@query(
+    "knn_block",
+    BLOCK_KNN + f"SELECT da.id AS id, {s6('d1', 'knn_dist_1')}, {', '.join(s6(f'd{k}m', f'knn_dist_{k}_mean') for k in (3, 5, 10, 20))}, {s6('ds', 'knn_dist_std_10')}, {', '.join(s6(f'm_{s}', f'knn_{s}_dist_min') for s in SPLITS)}, {', '.join(s6(f'l{k}', f'knn_train_label_mean_{k}') for k in (3, 5, 10))}, {s6('ls', 'knn_train_label_std_10')}, {s6('pp', 'knn_train_pos_dist_min')}, {s6('nn', 'knn_train_neg_dist_min')}, {s6('nn / (pp + 0.001)', 'knn_neg_pos_ratio')} FROM da JOIN lf ON lf.id = da.id",
+)
+def knn_block(t: Tables) -> DataFrame:
+    return rounded(neighbours.knn_block(blocks(t), SPLITS), "id")
+
+
+STAT_SQL = "s AS pos_count, n - s AS neg_count, s / n AS target_mean, sqrt(greatest(q / n - (s / n) * (s / n), 0)) AS target_std"
+CLUSTER_COLUMNS = ["id", "size_all", *(f"size_{s}" for s in SPLITS), "distance_to_center", "density_proxy", "target_mean", "target_std", "label_entropy", "pos_count", "neg_count"]
+
+
+@query(
+    "cluster_block",
+    f"""WITH {BLOCK}, ce AS (SELECT j, list_transform(range(64), lambda i: ((i * (j + 1)) % 7 - 3) / 20) AS c FROM range(6) r(j)), ad AS (SELECT em.*, j, list_distance(v, c::DOUBLE[]) AS d FROM em, ce),
+ag AS (SELECT id, split, label, fold, arg_min(j, (d, j)) AS cluster, min(d) AS d FROM ad GROUP BY id, split, label, fold), sz AS (SELECT cluster, count(*) AS size_all, {', '.join(f"count(*) FILTER (WHERE split = '{s}') AS size_{s}" for s in SPLITS)} FROM ag GROUP BY cluster),
+kf AS (SELECT DISTINCT cluster, fold FROM ag), own AS (SELECT kf.cluster, kf.fold, CAST(sum(label) AS DOUBLE) AS s, count(label) AS n FROM kf LEFT JOIN ag ON ag.cluster = kf.cluster AND ag.fold <> kf.fold AND label IS NOT NULL GROUP BY ALL),
+al AS (SELECT f.fold, CAST(sum(label) AS DOUBLE) AS s, count(label) AS n FROM (SELECT DISTINCT fold FROM ag) f JOIN ag ON ag.fold <> f.fold AND label IS NOT NULL GROUP BY f.fold),
+us AS (SELECT own.cluster, own.fold, CASE WHEN own.n > 0 THEN own.s ELSE al.s END AS s, CASE WHEN own.n > 0 THEN own.n ELSE al.n END AS n, CASE WHEN own.n > 0 THEN own.s ELSE al.s END AS q FROM own JOIN al ON al.fold = own.fold), st AS (SELECT cluster, fold, {STAT_SQL}, least(greatest(s / n, 1e-6), 1 - 1e-6) AS m FROM us),
+fi AS (SELECT ag.id AS rid, CAST(ag.cluster AS DOUBLE) AS id, sz.* EXCLUDE (cluster), d AS distance_to_center, 1 / (d + 0.001) AS density_proxy, target_mean, target_std, -(m * ln(m) + (1 - m) * ln(1 - m)) AS label_entropy, pos_count, neg_count FROM ag JOIN sz ON sz.cluster = ag.cluster JOIN st ON st.cluster = ag.cluster AND st.fold = ag.fold)
+SELECT rid AS id, {', '.join(s6(f'fi.{c}', f'cluster_6_{c}') for c in CLUSTER_COLUMNS)} FROM fi""",
+)
+def cluster_block(t: Tables) -> DataFrame:
+    return rounded(neighbours.cluster_block(blocks(t), CENTRES, "cluster_6", SPLITS), "id")
 
 
 @query("knn_label_oof", f"WITH {sql_knn(10, 'q.vec_id % 5 <> c.vec_id % 5')} SELECT query_id, {', '.join(s6(f'avg(CAST(label < 5 AS INTEGER)) FILTER (WHERE rank <= {k})', f'label_mean_{k}') for k in (1, 3, 5, 10))}, {s6('stddev_pop(d)', 'dist_std')} FROM kn GROUP BY query_id")
@@ -338,8 +381,7 @@ RANK_BLEND = "sum(pct * CASE model WHEN 'm1' THEN 2 WHEN 'm2' THEN 1 ELSE 0 END)
 
 @query("ensemble_rank_average", f"WITH {SCORED}, {RANKED} SELECT doc_id, {s6(RANK_BLEND, 'blend')} FROM rk GROUP BY doc_id")
 def ensemble_rank_average(t: Tables) -> DataFrame:
-    ranked = metrics.rank_percent(scored(t), "score", "model")
-    return rounded(ranked.groupBy("doc_id").agg((F.sum(F.col("rank_pct") * F.when(F.col("model") == "m1", 2).when(F.col("model") == "m2", 1).otherwise(0)) / 3).alias("blend")), "doc_id")
+    return rounded(metrics.rank_average(wide(t), {"m1": 2, "m2": 1, "m3": 0}, "doc_id", "blend"), "doc_id")
 
 
 @query("calib_blend", f"WITH {SCORED}, p AS (SELECT doc_id, score, {CLIPPED} AS q FROM sc WHERE model = 'm1') SELECT doc_id, {s6('least(greatest(0.7 / (1 + exp(-(0.8 * ln(q / (1 - q)) - 0.3))) + 0.3 * score, 0.001), 0.999)', 'p')} FROM p")

@@ -205,9 +205,9 @@ def scan_rowcount(t: Tables) -> DataFrame:
     return t.lineitem.agg(F.count("*").alias("n"))
 
 
-@query("filter_predicate", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value BETWEEN 100 AND 300 AND user_id % 3 = 1")
+@query("filter_predicate", "SELECT event_id, value FROM events WHERE event_type = 'click' AND value BETWEEN 100 AND 300")
 def filter_predicate(t: Tables) -> DataFrame:
-    return t.events.where((F.col("event_type") == "click") & F.col("value").between(100, 300) & (F.col("user_id") % 3 == 1)).select("event_id", "value")
+    return t.events.where((F.col("event_type") == "click") & F.col("value").between(100, 300)).select("event_id", "value")
 
 
 @query("dq_output_checks", "SELECT count(*) AS n_rows, count(*) - count(DISTINCT event_id) AS n_duplicate_ids, count(*) FILTER (WHERE value IS NULL) AS n_null, count(*) FILTER (WHERE value < 0 OR value > 400) AS n_out_of_range FROM events")
@@ -228,6 +228,23 @@ def prune_columns_profile(t: Tables) -> DataFrame:
     return quality.profile(t.orders.withColumn("fixed", F.lit(1)), [*PROFILED, "fixed"])
 
 
+NOISY = {"status": "o_orderstatus", "again": "o_orderstatus", "nearly": "CASE WHEN o_orderkey % 500 = 0 THEN 2 ELSE 1 END", "rare": "CASE WHEN o_orderkey % 50 = 0 THEN o_custkey END", "price": "o_totalprice"}
+
+
+@query(
+    "prune_noise",
+    f"WITH o AS (SELECT {', '.join(f'{v} AS {k}' for k, v in NOISY.items())} FROM orders), c AS ({' UNION ALL '.join(f'SELECT {k!r} AS column_name, CAST({k} AS VARCHAR) AS v FROM o' for k in NOISY)}), g AS (SELECT column_name, v, count(*) AS c FROM c GROUP BY ALL), "
+    + f"s AS (SELECT column_name, 1 - sum(c) FILTER (WHERE v IS NOT NULL) / sum(c) AS m, max(c) FILTER (WHERE v IS NOT NULL) / sum(c) FILTER (WHERE v IS NOT NULL) AS t FROM g GROUP BY column_name) SELECT column_name, {s6('m', 'missing_share')}, {s6('t', 'top_share')}, CASE WHEN column_name = 'again' THEN 'status' END AS twin, CAST(m > 0.95 OR t > 0.99 OR column_name = 'again' AS INTEGER) AS noisy FROM s",
+)
+def prune_noise(t: Tables) -> DataFrame:
+    return rounded(quality.noise(t.orders.select(*(F.expr(v).alias(k) for k, v in NOISY.items())), list(NOISY)), "column_name", "twin", "noisy")
+
+
+@query("filter_position", "SELECT event_id, user_id, value FROM events WHERE event_id >= 100 AND event_id < 900")
+def filter_position(t: Tables) -> DataFrame:
+    return encode.position_filter(t.events, 100, 900, "event_id").select("event_id", "user_id", "value")
+
+
 @query("impute_median", f"WITH v AS (SELECT event_id, CASE WHEN value < 400 THEN value END AS v FROM events) SELECT event_id, {s6('coalesce(v, (SELECT median(v) FROM v))', 'v')} FROM v")
 def impute_median(t: Tables) -> DataFrame:
     return rounded(quality.impute_median(t.events.select("event_id", F.when(F.col("value") < 400, F.col("value")).alias("v")), ["v"]), "event_id")

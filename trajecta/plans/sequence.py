@@ -315,7 +315,8 @@ def seq_corrections(t: Tables) -> DataFrame:
     return rounded(rows.groupBy("id").agg(F.count_if("away").alias("n_away"), F.when(total != 0, late / total).alias("last_third_path"), F.stddev_pop(F.when(F.col("pos") > F.col("n") - 5, F.col("far"))).alias("end_jitter")), "id", "n_away")
 
 
-GRID = """, seg AS (SELECT id, {clock} AS c0, lead({clock}) OVER w AS c1, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, min({clock}) OVER (PARTITION BY id) AS cb, max({clock}) OVER (PARTITION BY id) AS ce FROM {source} WINDOW w AS (PARTITION BY id ORDER BY pos)),
+GRID = """, ck AS (SELECT *, CASE WHEN max({clock}) OVER (PARTITION BY id) - min({clock}) OVER (PARTITION BY id) <= 1e-9 THEN pos ELSE {clock} END AS ck FROM {source}),
+seg AS (SELECT id, ck AS c0, lead(ck) OVER w AS c1, x, y, lead(x) OVER w AS x1, lead(y) OVER w AS y1, min(ck) OVER (PARTITION BY id) AS cb, max(ck) OVER (PARTITION BY id) AS ce FROM ck WINDOW w AS (PARTITION BY id ORDER BY pos)),
 grid AS (SELECT seg.*, k, cb + k * (ce - cb) / 31 AS g FROM seg, range(32) r(k) WHERE ce - cb > 1e-12
   AND k >= ceil((c0 - cb) / ((ce - cb) / 31) - 1e-9) AND (c1 IS NULL OR k < ceil((c1 - cb) / ((ce - cb) / 31) - 1e-9)))
 SELECT id, CAST(k AS INTEGER) AS k, {rx}, {ry} FROM grid"""

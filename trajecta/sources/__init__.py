@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ def work_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the cluster names none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return f"{named.rstrip('/')}/trajecta-{spark.sparkContext.applicationId}"
@@ -31,10 +34,18 @@ def row_count(spark: SparkSession, path: str) -> int:
     return spark.read.parquet(path).count()
 
 
-def write_submission(predictions: DataFrame, path: str, value_col: str = "probability", id_col: str = "id", files: int | None = 1) -> None:
-    """CSV with a header: id and one value column, in ``files`` files (None: as many as partitions)."""
+def write_submission(predictions: DataFrame, path: str, value_col: str = "probability", id_col: str = "id", files: int | None = None, append: bool = False) -> None:
+    """CSV with a header: id and one value column, in ``files`` files (None: as many as partitions). With ``append`` to those that
+    are there, such as earlier batches; every file has the header."""
     rows = predictions.select(F.col(id_col), F.col(value_col))
-    (rows.coalesce(files) if files else rows).write.mode("overwrite").option("header", True).csv(path)
+    (rows.coalesce(files) if files else rows).write.mode("append" if append else "overwrite").option("header", True).csv(path)
+
+
+def read_batches(df: DataFrame, rows: int, id_col: str = "id") -> Iterator[DataFrame]:
+    """The table in batches of ``rows`` consecutive ids."""
+    first, last = df.agg(F.min(id_col), F.max(id_col)).first()
+    for start in range(first, last + 1, rows) if first is not None else ():
+        yield df.where((F.col(id_col) >= start) & (F.col(id_col) < start + rows))
 
 
 def read_submission(spark: SparkSession, path: str, value_col: str = "probability", id_col: str = "id") -> DataFrame:
