@@ -37,6 +37,8 @@ def test_template_features(spark, tmp_path):
     out = pipeline.template_features(splits, folds=3, folder=f"{tmp_path}/cache")
     rows = out.collect()
     assert len(rows) == 18 and len(out.columns) == 2 + 6 * (3 + 5)
+    # rows without labels get the labelled split's statistics
+    assert all(r.dir_hash_pos_count is not None and r.dir_hash_target_mean is not None for r in rows)
     assert all(r.dir_hash_count_all == r.dir_hash_count_train + r.dir_hash_count_test for r in rows)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajecta.functions import exprs
-from trajecta.operators import sessions
+from trajecta.operators import flat, sessions
 from trajecta.schema import SCALARS, ingest
 
 MOUSE = "array<struct<timestamp_: double, x_: double, y_: double>>"
@@ -96,3 +96,21 @@ def test_expressions(spark):
     assert df.select(exprs.binary_entropy(F.lit(0.75))).first()[0] == pytest.approx(0.5623351)
     text = spark.createDataFrame([("1.5",), ("x",), ("NaN",), ("Infinity",), (None,)], "v string")
     assert [r[0] for r in text.select(exprs.number("v")).collect()] == [1.5, None, None, None, None]
+
+
+def test_still_clocks_are_spaced_by_position(spark):
+    """Events of one time, and a pointer that doesn't move: the points are evenly spaced."""
+    rows = [session(1, [(7.0, 0.0, 0.0), (7.0, 4.0, 0.0), (7.0, 4.0, 8.0)], None, viewport_width=1.0, viewport_height=1.0), session(2, [(0.0, 2.0, 2.0), (9.0, 2.0, 2.0)], None, viewport_width=1.0, viewport_height=1.0), session(3, [(1.0, 5.0, 6.0)], None, viewport_width=1.0, viewport_height=1.0)]
+    got = {r.id: r for r in sessions.artifacts(ingest(spark.createDataFrame(rows, SCHEMA)), points=5).collect()}
+    assert list(got[1].time_x) == [0, 2, 4, 4, 4] and list(got[1].time_y) == [0, 0, 0, 4, 8]
+    assert list(got[2].arc_x) == [2.0] * 5 and list(got[3].time_y) == [6.0] * 5
+    flat_rows = spark.createDataFrame([(1, k + 1, 7.0, x, y) for k, (x, y) in enumerate([(0.0, 0.0), (4.0, 0.0), (4.0, 8.0)])] + [(2, 1, 3.0, 5.0, 6.0)], "id long, pos long, t double, x double, y double")
+    made = {(r.id, r.k): (r.rx, r.ry) for r in flat.resample(flat_rows, "t", 5).collect()}
+    assert [made[1, k] for k in range(5)] == [(0, 0), (2, 0), (4, 0), (4, 4), (4, 8)] and [made[2, k] for k in range(5)] == [(5, 6)] * 5
+
+
+def test_long_sessions_take_time_in_proportion(spark):
+    """A deviation is one pass over its array: 20 000 points, which a pass for each of them would take minutes for."""
+    df = spark.range(4).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda k: k.cast("double")).alias("v"))
+    got = df.select(sessions.spread(F.col("v")).alias("s")).collect()
+    assert all(r.s == pytest.approx(((20_000**2 - 1) / 12) ** 0.5) for r in got)

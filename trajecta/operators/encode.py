@@ -74,7 +74,9 @@ def label_stats(s: Column, n: Column, squares: Column) -> dict[str, Column]:
 def out_of_fold_stats(df: DataFrame, key: str, label: str, fold: str = "fold", fallback: str = "global_count") -> DataFrame:
     """Adds label statistics of the row's key over the other folds. A key unseen there gets, by ``fallback``, the other
     folds' overall statistics (``global_count``) or NULL (``null``)."""
-    parts = df.groupBy(key, fold).agg(F.sum(label).cast("double").alias("s"), F.count(label).cast("double").alias("n"), F.sum(F.col(label) * F.col(label)).cast("double").alias("q"))
+    # a fold without labels adds nothing to the others, whose statistics its rows get
+    summed = lambda c: F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    parts = df.groupBy(key, fold).agg(summed(label).alias("s"), F.count(label).cast("double").alias("n"), summed(F.col(label) * F.col(label)).alias("q"))
     by_key, everything, by_fold = Window.partitionBy(key), parts.agg(F.sum("s").alias("as"), F.sum("n").alias("an"), F.sum("q").alias("aq")), parts.groupBy(fold).agg(*(F.sum(c).alias(f"f{c}") for c in "snq"))
     rest = parts.withColumns({f"o{c}": F.sum(c).over(by_key) - F.col(c) for c in "snq"})
     rest = rest.join(F.broadcast(by_fold), fold).crossJoin(F.broadcast(everything))
