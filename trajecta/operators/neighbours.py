@@ -160,8 +160,10 @@ def knn_block(df: DataFrame, splits: list[str], folds: int = 5) -> DataFrame:
 
 
 def fit_clusters(df: DataFrame, k: int, seed: int = 42, iterations: int = 50) -> list[list[float]]:
-    """Centres of a K-means fit, in the order of their components; as many as there are different vectors at most."""
-    rows = usable(df).select(array_to_vector("vector").alias("features"))
+    """Centres of a K-means fit, in the order of their components; as many as there are different vectors at most. Rows are dealt
+    and sorted by id, so that the fit doesn't depend on how they were stored."""
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = usable(df).repartition(spread, "id").sortWithinPartitions("id", "vector").select(array_to_vector("vector").alias("features"))
     centres = KMeans(k=k, seed=seed, maxIter=iterations).fit(rows).clusterCenters()
     return sorted([float(x) for x in c] for c in centres)
 

@@ -1,4 +1,5 @@
-"""Train and predict on session tables: features, target encodings, pruning, cross-validated models, blend, calibration.
+"""Train and predict on session tables: features, target encodings, pruning, cross-validated models, blend, calibration, and
+ensembles over feature families with the template block.
 
 Feature tables are lazy; only fits, one-row summaries and the sink are actions. Folds are a column, and the
 encodings of a fold are made from its training part alone, so a row never sees its own label.
@@ -6,17 +7,18 @@ encodings of a fold are made from its training part alone, so a row never sees i
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajecta.operators import encode, metrics, quality, sessions
-from trajecta.sources import cached, write_submission
+from trajecta.operators import encode, metrics, neighbours, quality, sessions, text
+from trajecta.sources import cached, read_batches, work_folder, write_submission
 
 #: Groups of columns whose combinations are target-encoded.
 TE_GROUPS = {
@@ -79,7 +81,8 @@ def scored(model, df: DataFrame, name: str) -> DataFrame:
 def fit(train_sessions: DataFrame, label: str = "target", folds: int = FOLDS, max_fpr: float = MAX_FPR, models: list[str] | None = None, folder: str | None = None) -> Model:
     """Trains on normalised sessions with a label. With ``folder`` the features are cached there by content."""
     features = sessions.competition_features(train_sessions).join(train_sessions.select("id", label), "id")
-    features = cached(features, folder, {"features": "competition"}) if folder else features
+    # read once for each fold and model, so the features are computed once
+    features = cached(features, folder or f"{work_folder(features.sparkSession)}/features", {"features": "competition"})
     train = encode.stratified_folds(features.withColumnRenamed(label, "target") if label != "target" else features, "id", "target", folds)
     base = [c for c in features.columns if c not in ("id", label)]
     columns = [*quality.usable_columns(train, base), *(f"{p}_{g}" for g in TE_GROUPS for p in ("te", "freq"))]
@@ -119,13 +122,103 @@ def predict(model: Model, new_sessions: DataFrame) -> DataFrame:
     return rows.select("id", metrics.calibrated(metrics.weighted_mean(model.weights), *model.calibration).alias("probability"))
 
 
+def save(model: Model, folder: str) -> None:
+    """Writes the model: settings as JSON, encodings as Parquet, fitted pipelines in their own format."""
+    spark = SparkSession.getActiveSession()
+    settings = {"columns": model.columns, "rate": model.encodings.rate, "weights": model.weights, "calibration": list(model.calibration), "scores": model.scores}
+    spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/settings")
+    for name, table in model.encodings.groups.items():
+        table.write.mode("overwrite").parquet(f"{folder}/encodings/{name}")
+    for name, fitted in model.fitted.items():
+        fitted.write().overwrite().save(f"{folder}/models/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> Model:
+    settings = json.loads("".join(r.value for r in spark.read.text(f"{folder}/settings").collect()))
+    encodings = Encodings(settings["rate"], {name: spark.read.parquet(f"{folder}/encodings/{name}") for name in TE_GROUPS})
+    fitted = {name: PipelineModel.load(f"{folder}/models/{name}") for name in settings["weights"]}
+    return Model(settings["columns"], encodings, fitted, settings["weights"], tuple(settings["calibration"]), settings["scores"])
+
+
+def predict_to_csv(model: Model, new_sessions: DataFrame, path: str, batch: int | None = None) -> None:
+    """Writes ``id, probability`` as CSV, with ``batch`` so many consecutive ids at a time."""
+    for k, part in enumerate(read_batches(new_sessions, batch) if batch else [new_sessions]):
+        write_submission(predict(model, part), path, append=k > 0)
+
+
 def train_and_predict(train: DataFrame, test: DataFrame, path: str, **options) -> Model:
     """Fits on one session table and writes the other one's predictions as CSV."""
     model = fit(train, **options)
-    write_submission(predict(model, test), path)
+    predict_to_csv(model, test, path)
     return model
 
 
+@dataclass
+class CrossValidated:
+    out_of_fold: DataFrame  # id, target, fold, score
+    fold_scores: list[float]
+    mean: float
+    std: float
+
+
+def cross_validate(estimator, train: DataFrame, columns: list[str], max_fpr: float = 0.035) -> CrossValidated:
+    """Out-of-fold scores of an estimator on (id, target, fold, columns) and the folds' partial areas, with mean and deviation.
+    Any fold column will do: stratified, by group (``hashed_folds``) or repeated (call once a seed)."""
+    folds = sorted(r.fold for r in train.select("fold").distinct().collect())
+    parts = []
+    for fold in folds:
+        fitted = Pipeline(stages=[*assembler(columns), estimator]).fit(encode.fold_filter(train, fold, False))
+        parts.append(scored(fitted, encode.fold_filter(train, fold, True), "score").select("id", "target", "fold", "score"))
+    found = encode.reduce(lambda a, b: a.unionByName(b), parts)
+    by_fold = {r.fold: r.pauc for r in metrics.partial_auc(found, "target", "score", max_fpr, "fold").collect()}
+    scores = [by_fold[k] for k in folds]
+    known = [x for x in scores if x is not None]
+    mean = sum(known) / len(known) if known else float("nan")
+    return CrossValidated(found, scores, mean, (sum((x - mean) ** 2 for x in known) / len(known)) ** 0.5 if known else float("nan"))
+
+
+@dataclass
+class Ensemble:
+    weights: dict[str, float]
+    scores: dict[str, dict[str, float]]  # by model, and "ensemble"
+    out_of_fold: DataFrame  # id, target, a column a model, ensemble
+    predictions: DataFrame  # id, a column a model, ensemble
+
+
+def quality_scores(df: DataFrame, column: str) -> dict[str, float]:
+    row = df.agg(metrics.log_loss(F.col("target"), F.col(column)).alias("logloss"), metrics.brier(F.col("target"), F.col(column)).alias("brier")).first()
+    return {"pauc_01": metrics.partial_auc(df, "target", column, 0.1).first()[0], "pauc_0035": metrics.partial_auc(df, "target", column, 0.035).first()[0], **row.asDict()}
+
+
+def train_ensemble(train: DataFrame, test: DataFrame, specs: dict[str, tuple], ablate: tuple[str, ...] = ()) -> Ensemble:
+    """Models on feature families: ``specs`` has for each name an estimator and its columns, ``train`` (id, target, fold and all columns),
+    ``test`` (id and all columns). Weights are in proportion to the out-of-fold partial areas; the ensemble is the weighted mean of
+    ranks. Models named in ``ablate`` are scored but get no weight."""
+    found, asked, scores = train.select("id", "target"), test.select("id"), {}
+    for name, (estimator, columns) in specs.items():
+        found = found.join(cross_validate(estimator, train, columns).out_of_fold.select("id", F.col("score").alias(name)), "id")
+        fitted = Pipeline(stages=[*assembler(columns), estimator]).fit(train)
+        asked = asked.join(scored(fitted, quality.select_or_null(test, ["id", *columns]), name).select("id", name), "id")
+    folder = work_folder(train.sparkSession)
+    found, asked = (cached(x, f"{folder}/ensemble", {"part": k, "models": sorted(specs)}) for k, x in enumerate((found, asked)))
+    for name in specs:
+        scores[name] = quality_scores(found, name)
+    weights = metrics.partial_auc_weights({name: s["pauc_01"] for name, s in scores.items() if name not in ablate})
+    found, asked = (x.join(metrics.rank_average(x, weights, "id", "ensemble"), "id") for x in (found, asked))
+    return Ensemble(weights, scores | {"ensemble": quality_scores(found, "ensemble")}, found, asked)
+
+
+def pseudo_label_rounds(train: DataFrame, unlabelled: DataFrame, estimator, columns: list[str], rounds: int = 2, high: float = 0.995, low: float = 0.005, weight: float = 0.25):
+    """A pipeline fitted on the labelled rows (weight 1) and, in each round, on the rows of ``unlabelled`` that the last one was certain of."""
+    spec = estimator.copy().setWeightCol("weight")
+    own = train.select("id", "target", *columns).withColumn("weight", F.lit(1.0))
+    fitted = Pipeline(stages=[*assembler(columns), spec]).fit(own)
+    for _ in range(rounds):
+        certain = encode.pseudo_labels(scored(fitted, unlabelled.select("id", *columns), "p"), "p", high, low, weight)
+        fitted = Pipeline(stages=[*assembler(columns), spec]).fit(own.unionByName(certain.select("id", F.col("label").alias("target"), *columns, "weight")))
+    return fitted
+
+
 def template_features(splits: dict[str, DataFrame], label: str = "target", labelled: str = "train", folds: int = FOLDS, folder: str | None = None) -> DataFrame:
     """Template block of all splits (normalised sessions): per hash its counts by split and label statistics, out of fold on the
     labelled split. One name for every split: ``<hash>_count_*`` and ``<hash>_<statistic>``. With ``folder`` the hashes are
@@ -153,3 +246,48 @@ def reduced(df: DataFrame, columns: list[str], k: int = 16, prefix: str = "pca")
     fitted = Pipeline(stages=[*assembler(columns), PCA(k=k, inputCol="features", outputCol="components")]).fit(df)
     parts = vector_to_array("components")
     return fitted.transform(df).select("id", *(parts[i].alias(f"{prefix}_{i}") for i in range(k)))
+
+
+def text_block(made: DataFrame, k: int = 16, min_df: int = 3, most: int = 4000) -> DataFrame:
+    """``id, text_svd_*``: symbol texts (id, symbol_text) in the space of their 2- to 4-grams' k largest singular values."""
+    counts = text.term_counts(made.select("id", F.split("symbol_text", " ").alias("tokens")), "id", "tokens", 2, 4)
+    counts = cached(counts, f"{work_folder(made.sparkSession)}/terms", {"ngrams": "2-4"})
+    terms = text.vocabulary(counts, min_df, most)
+    terms = cached(terms, f"{work_folder(made.sparkSession)}/terms", {"vocabulary": [min_df, most]})
+    n = terms.count()
+    ids = made.select("id")
+    if not n:
+        return ids
+    reduced_text = text.svd(text.tfidf(counts, terms, made.count()), terms, k)
+    # texts without a term of the vocabulary are the origin
+    return ids.join(reduced_text, "id", "left").select("id", *(F.coalesce(F.get("reduced", F.lit(i)), F.lit(0.0)).alias(f"text_svd_{i}") for i in range(min(k, n))))
+
+
+def template_block(splits: dict[str, DataFrame], label: str = "target", labelled: str = "train", folds: int = FOLDS, clusters: tuple[int, ...] = (50, 100), k: int = 16, folder: str | None = None) -> DataFrame:
+    """``id, split`` and the whole template block of normalised sessions: hashes (9 columns each), text, trajectories, neighbours and
+    clusters. Neighbours and clusters are in the space of the text's, the trajectories' and the competition features' components."""
+    rows = encode.union_splits(splits)
+    store = folder or f"{work_folder(rows.sparkSession)}/template"
+    paths = [f"{a}_{c}" for a in ("time", "arc", "unit") for c in "xy"]
+    made = cached(sessions.artifacts(rows).select("id", "symbol_text", *paths).join(rows.select("id", "split", F.col(label).alias("target")), "id"), store, {"features": "trajectories"})
+    points = [f"{p}_{i}" for p in paths for i in range(32)]
+    wide = made.select("id", *(F.get(p, F.lit(i)).alias(f"{p}_{i}") for p in paths for i in range(32)))
+    manual = cached(sessions.competition_features(rows), store, {"features": "competition"})
+    used = quality.usable_columns(manual, [c for c in manual.columns if c != "id"])
+    parts = [text_block(made, k), reduced(wide, quality.usable_columns(wide, points), k, "traj_pca"), reduced(manual, used, k, "manual_pca")]
+    space = encode.join_blocks(made.select("id", "split", "target"), *parts)
+    components = [c for c in space.columns if c not in ("id", "split", "target")]
+    train = encode.stratified_folds(space.where(F.col("split") == labelled), "id", "target", folds)
+    rest = space.where(F.col("split") != labelled).withColumns({"fold": F.lit(-1), "target": F.lit(None).cast("int")})
+    vectors = train.unionByName(rest.select(*train.columns)).select("id", "split", F.col("target").alias("label"), "fold", F.array(*components).alias("vector"))
+    vectors = cached(vectors, store, {"features": "space"})
+    n = vectors.count()
+    blocks = [neighbours.knn_block(vectors, list(splits), folds)]
+    blocks += [neighbours.cluster_block(vectors, neighbours.fit_clusters(vectors, min(c, n)), f"cluster_{c}", list(splits)) for c in clusters]
+    hashes = template_features(splits, label, labelled, folds, folder)
+    return encode.join_blocks(hashes, *parts[:2], *blocks)
+
+
+def families(base: list[str], template: list[str]) -> dict[str, list[str]]:
+    """Feature families: the manual columns, the template block, and both."""
+    return {"manual": base, "template": template, "full": [*base, *template]}
