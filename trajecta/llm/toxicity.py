@@ -35,6 +35,8 @@ SIZES = (3, 5, 7)
 BITS = 22
 PER_CLASS = 2500
 FEATURES = 40_000
+#: Buckets that a task's counts are sent together for.
+RANGE = 1 << 16
 #: Texts that an n-gram must be in to be a feature.
 LEAST_TEXTS = 4
 #: The regression's penalty, tolerance and most steps.
@@ -48,8 +50,19 @@ def distinct(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys & ((1 << BITS) - 1), keys >> BITS
 
 
-def count(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, texts of each label by bucket, texts of each label) of rows with ``text`` and ``label``; buckets in LEAST_TEXTS texts or more."""
+def packed(counts: np.ndarray) -> bytes:
+    """Byte planes of counts, of which most are 0 or small."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def count(found: DataFrame) -> DataFrame:
+    """``bucket, n0, n1``: texts of each label by n-gram, of rows with ``text`` and ``label``; buckets in LEAST_TEXTS texts or more. Bucket -1 has
+    all texts. A task sends its counts as compressed ranges of buckets, so the shuffle grows with tasks and not with n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts_of, last, rows = np.zeros((2, 1 << BITS), np.int32), np.empty(1 << BITS, np.int32), np.zeros(2, np.int64)
@@ -61,30 +74,45 @@ def count(found: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     last[bucket] = place
                     texts_of[label, bucket[last[bucket] == place]] += 1
                     rows[label] += 1
-        seen = np.flatnonzero(texts_of.any(0)).astype(np.int32)
-        # bucket -1 has the texts
         if rows.any():
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array(rows[:1]), pa.array(rows[1:])], names=["bucket", "n0", "n1"])
-        for start in range(0, len(seen), 100_000):
-            part = seen[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(texts_of[k, part].astype(np.int64)) for k in (0, 1))], names=["bucket", "n0", "n1"])
-
-    counts = map_arrow(found, run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = counts.where((F.col("n0") + F.col("n1") >= LEAST_TEXTS) | (F.col("bucket") < 0)).toArrow()
-    bucket, texts_of = got.column("bucket").to_numpy(), np.stack([got.column(c).to_numpy() for c in ("n0", "n1")])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([packed(rows[k : k + 1])]) for k in (0, 1))], names=["range", "n0", "n1"])
+            for start in range(0, 1 << BITS, RANGE):
+                some = texts_of[:, start : start + RANGE]
+                yield pa.RecordBatch.from_arrays([pa.array([start // RANGE], pa.int32()), *(pa.array([packed(some[k])]) for k in (0, 1))], names=["range", "n0", "n1"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, None
+
+        def result():
+            if at is not None:
+                some = np.flatnonzero(sums.sum(0) >= (LEAST_TEXTS if at >= 0 else 0))
+                yield pa.RecordBatch.from_arrays([pa.array((some + at * RANGE if at >= 0 else some - 1).astype(np.int32)), *(pa.array(sums[k, some]) for k in (0, 1))], names=["bucket", "n0", "n1"])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["range"] != at:
+                    yield from result()
+                    at, sums = r["range"], np.zeros((2, RANGE if r["range"] >= 0 else 1), np.int64)
+                for k in (0, 1):
+                    sums[k] += unpacked(r[f"n{k}"], sums.shape[1])
+        yield from result()
+
+    sent = map_arrow(found.select("label", "text"), run, "range int, n0 binary, n1 binary")
+    return materialise(map_arrow(sent.repartition("range").sortWithinPartitions("range"), add, "bucket int, n0 long, n1 long"), "toxicity-counts")
+
+
+def choose(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, log ratios) of the features: the n-grams of the largest ratio times difference of shares."""
+    total = counts.where("bucket < 0").first()
+    if total is None or not total.n0 or not total.n1:
+        return np.empty(0, np.int64), np.empty(0)
+    p, q = ((F.col(f"n{k}") + 0.5) / (total[f"n{k}"] + 1) for k in (1, 0))
+    ratio = F.log(p / q)
+    best = counts.where("bucket >= 0").select("bucket", ratio.alias("ratio"), (F.abs(ratio) * F.abs(p - q)).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "bucket").limit(FEATURES)
+    got = best.select("bucket", "ratio").toArrow()
+    bucket, ratio = got.column("bucket").to_numpy().astype(np.int64), got.column("ratio").to_numpy()
     order = np.argsort(bucket)
-    bucket, texts_of = bucket[order], texts_of[:, order]
-    return (bucket[1:], texts_of[:, 1:], texts_of[:, 0]) if len(bucket) else (bucket, texts_of, np.zeros(2, np.int64))
-
-
-def choose(known: np.ndarray, texts_of: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, log ratios) of the features."""
-    p, q = (texts_of[1] + 0.5) / (total[1] + 1), (texts_of[0] + 0.5) / (total[0] + 1)
-    ratio = np.log(p / q)
-    gain = np.abs(ratio) * np.abs(p - q)
-    best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    best = best[gain[best] > 0]
-    return known[best], ratio[best]
+    return bucket[order], ratio[order]
 
 
 def filled(weights: np.ndarray, ratio: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -112,9 +140,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     labelled = usable.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).distinct()
     # labels grow with the texts, so they are dealt by id, not broadcast
     training = rows.where(crc_of_id() % 5 != 0).join(labelled.hint("shuffle_hash"), "doc_id").select("label", "text")
-    known, texts_of, of_label = count(training)
-    chosen, scale = choose(known, texts_of, of_label)
-    if not of_label.all() or not len(chosen):
+    chosen, scale = choose(count(training))
+    if not len(chosen):
         return *none, math.log(share / (1 - share))
     sample = sample_per_class(usable, label_col, per_class, id_col)
     vectors = materialise(scaled(rows.join(F.broadcast(sample), "doc_id"), chosen, scale), "toxicity-sample")
