@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -58,6 +59,26 @@ def test_lempel_ziv():
         s = "".join(rng.choice("ab" if rng.random() < 0.5 else "abcd") for _ in range(rng.randrange(40)))
         assert symbols.lempel_ziv(s) == brute(s)
     assert symbols.lempel_ziv("a" * 30) == 2
+    assert symbols.lempel_ziv([]) == 0 and symbols.lempel_ziv([7, None, 7]) == 3
+    long = [rng.randrange(3) for _ in range(200_000)]  # beyond what a search of all earlier symbols can do
+    assert symbols.lempel_ziv(long * 2) == symbols.lempel_ziv(long) + 1
+
+
+def test_stratified_folds_deal_each_label_in_turn(spark):
+    rows = [(i, i % 3 if i % 4 else None) for i in range(500)] + [(None, 1), (None, None), (7, 1), (7, 1)]
+    df = spark.createDataFrame(rows, "id long, __n int").withColumnRenamed("__n", "y").withColumn("n", F.lit(0))
+    got = encode.stratified_folds(df, "id", "y", 5, 3)
+    assert got.columns == ["id", "y", "n", "fold"] and got.count() == len(rows)
+    dealt = {}
+    for r in got.collect():
+        dealt.setdefault(r.y, []).append((r.id is not None, hashlib.md5(f"{r.id}:3".encode()).hexdigest() if r.id is not None else "", r.fold))
+    for some in dealt.values():
+        some.sort(key=lambda x: x[:2])
+        ties = {}
+        for place, (*key, fold) in enumerate(some):
+            ties.setdefault(tuple(key), []).append((place % 5, fold))
+        assert all(sorted(a for a, _ in x) == sorted(b for _, b in x) for x in ties.values())
+    assert encode.stratified_folds(df.limit(0), "id", "y").collect() == []
 
 
 def test_entropy_bounds(spark):

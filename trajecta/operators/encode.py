@@ -44,10 +44,16 @@ def hash_counts(df: DataFrame, key: str, split: str, splits: list[str]) -> DataF
 def stratified_folds(df: DataFrame, id_col: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """Adds ``fold``: rows of each label are dealt in turn, in the order of a hash of id and seed.
 
-    Each label's rows meet in one task here, with two columns; use ``hashed_folds`` for tables beyond that."""
-    order = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary"))
-    turn = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    return df.withColumn("fold", ((turn - 1) % folds).cast("int"))
+    Rows are numbered within 4096 ranges of the hash, after the rows of the ranges before, so no label meets in one task.
+    A null id comes first; a null label is a label of its own."""
+    digest = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")).cast("binary"))
+    rows = df.withColumns({"__digest": digest, "__range": F.substring(digest, 1, 3)})
+    counts = rows.groupBy(label, "__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(label).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = counts.select(label, "__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    turn = F.col("__before") + F.row_number().over(Window.partitionBy(label, "__range").orderBy("__digest"))
+    dealt = null_safe(rows, ranges, [label, "__range"]).withColumn("fold", ((turn - 1) % folds).cast("int"))
+    return dealt.drop("__digest", "__range", "__before")
 
 
 def hashed_folds(df: DataFrame, key: str, folds: int = 5, seed: int = 42) -> DataFrame:

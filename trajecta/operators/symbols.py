@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,19 +61,40 @@ def turn_category(turn: Column) -> Column:
     return F.when(d > 60, "sharp_left").when(d > 15, "left").when(d >= -15, "straight").when(d >= -60, "right").when(d < -60, "sharp_right")
 
 
-def lempel_ziv(symbols: str) -> int:
-    """Number of phrases of the 1976 parsing: each is the shortest that doesn't occur earlier (overlap allowed)."""
-    start, count = 0, 0
-    while start < len(symbols):
-        size = 1
-        while start + size <= len(symbols) and symbols.find(symbols[start : start + size], 0, start + size - 1) >= 0:
-            size += 1
-        count, start = count + 1, start + size
+def lempel_ziv(symbols: Sequence) -> int:
+    """Number of phrases of the 1976 parsing: each is the shortest that doesn't occur earlier (overlap allowed).
+
+    A suffix automaton knows where each substring first ends, so time and memory are linear in the length."""
+    follow: list[dict] = [{}]
+    link, size, first = [-1], [0], [-1]
+    last = 0
+    for i, symbol in enumerate(symbols):
+        new, p = len(follow), last
+        follow.append({}), link.append(0), size.append(size[last] + 1), first.append(i)
+        while p >= 0 and symbol not in follow[p]:
+            follow[p][symbol], p = new, link[p]
+        if p >= 0:
+            q = follow[p][symbol]
+            if size[q] > size[p] + 1:  # q also holds longer substrings, which end in fewer places
+                copy = len(follow)
+                follow.append(dict(follow[q])), link.append(link[q]), size.append(size[p] + 1), first.append(first[q])
+                link[q] = copy
+                while p >= 0 and follow[p].get(symbol) == q:
+                    follow[p][symbol], p = copy, link[p]
+                q = copy
+            link[new] = q
+        last = new
+    count, state, within = 0, 0, False
+    for i, symbol in enumerate(symbols):
+        count += not within
+        state = follow[state][symbol]
+        within = first[state] < i
+        state = state if within else 0
     return count
 
 
 def lz_complexity(df: DataFrame) -> DataFrame:
-    """``id, n, complexity, normalised``. Parsing is sequential, so ordered sequences go through Arrow; symbols become characters before."""
+    """``id, n, complexity, normalised``. Parsing is sequential, so ordered sequences go through Arrow."""
     ordered = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "symbol"))).alias("s"))
     text = ordered.select("id", F.transform("s", lambda e: e.symbol.cast("string")).alias("s"))
 
@@ -81,8 +102,7 @@ def lz_complexity(df: DataFrame) -> DataFrame:
         for batch in batches:
             counts, sizes = [], []
             for symbols in batch.column("s").to_pylist():
-                number = {s: chr(i + 1) for i, s in enumerate(dict.fromkeys(symbols))}
-                counts.append(lempel_ziv("".join(number[s] for s in symbols)))
+                counts.append(lempel_ziv(symbols))
                 sizes.append(len(symbols))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], names=["id", "n", "complexity"])
 

@@ -54,7 +54,19 @@ def sym_permutation_entropy(t: Tables) -> DataFrame:
     return rounded(symbols.entropy_of(symbols.permutation_symbols(events(t), "x", 3), "id"), "id")
 
 
-@query("sym_lz_complexity")
+#: A phrase that began at ``a`` grows by one symbol a step while it occurs earlier.
+PHRASES = """, code AS (SELECT id, pos, chr(64 + CAST(dense_rank() OVER (ORDER BY event_type) AS INTEGER)) AS c FROM ev),
+text AS (SELECT id, string_agg(c, '' ORDER BY pos) AS s FROM code GROUP BY id),
+lz AS (
+  SELECT id, s, 1 AS a, 1 AS size, 0 AS phrases FROM text
+  UNION ALL
+  SELECT id, s, CASE WHEN old THEN a ELSE a + size END, CASE WHEN old THEN size + 1 ELSE 1 END, CASE WHEN old THEN phrases ELSE phrases + 1 END
+  FROM (SELECT *, a + size - 1 <= length(s) AND contains(substr(s, 1, a + size - 2), substr(s, a, size)) AS old FROM lz WHERE a <= length(s))
+), done AS (SELECT id, length(s) AS n, max(phrases) AS complexity FROM lz GROUP BY id, s)
+"""
+
+
+@query("sym_lz_complexity", EVENTS.replace("WITH", "WITH RECURSIVE", 1) + PHRASES + f"SELECT id, n, complexity, {s6('CASE WHEN n > 1 THEN complexity * log2(n) / n END', 'normalised')} FROM done")
 def sym_lz_complexity(t: Tables) -> DataFrame:
     return rounded(symbols.lz_complexity(typed(t)), "id", "n", "complexity")
 
