@@ -3,6 +3,8 @@
 import math
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from trajecta import plans
@@ -38,3 +40,21 @@ def test_query(spark, duck, name):
     at = [want.columns.index(c) for c in columns]
     got = sorted(tuple(value(r[c]) for c in columns) for r in rows)
     assert got == sorted(tuple(value(r[i]) for i in at) for r in want.fetchall())
+
+
+def same(spark, folder, name, tables):
+    """The query over own tables (name: Arrow table) gives the rows of its SQL."""
+    con = duckdb.connect()
+    for t, rows in tables.items():
+        pq.write_table(rows, f"{folder}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df, want = plans.QUERIES[name](spark, str(folder)), con.sql(plans.SQL[name])
+    at = [want.columns.index(c) for c in df.columns]
+    rows = sorted(tuple(map(str, r)) for r in df.collect())
+    assert rows == sorted(tuple(str(r[i]) for i in at) for r in want.fetchall())
+    return rows
+
+
+def test_logarithms_at_their_limits(spark, tmp_path):
+    values = [0.0, -0.0, -0.5, -1.0, -3.0, 0.01, 250.0, None]
+    same(spark, tmp_path, "math_scalar", {"events": pa.table({"event_id": range(len(values)), "value": pa.array(values, pa.float64())})})

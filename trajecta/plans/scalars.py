@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.functions.exprs import binary_entropy, bucketize, clip, digitize, distance, flag, logit, safe_div, safe_div_strict
+from trajecta.functions.exprs import binary_entropy, bucketize, clip, digitize, distance, flag, logarithm, logit, safe_div, safe_div_strict
 from trajecta.operators import encode, flat, quality
 from trajecta.plans.registry import EVENTS, Tables, events, query, steps
 from trajecta.plans.registry import r6 as s6
@@ -161,7 +161,7 @@ MATH = {"log1p": "ln(1 + value)", "root": "sqrt(value)", "magnitude": "abs(value
 @query("math_scalar", "SELECT event_id, CAST(floor(value) AS BIGINT) AS whole, " + ", ".join(s6(v, k) for k, v in MATH.items()) + " FROM events")
 def math_scalar(t: Tables) -> DataFrame:
     v = F.col("value")
-    made = {"log1p": F.log1p(v), "root": F.sqrt(v), "magnitude": F.abs(v - 250), "sine": F.sin(v), "cosine": F.cos(v), "angle": F.atan2(v, F.lit(3.0)), "log": F.log(v), "clipped": clip(v, 100.0, 300.0), "expm1": F.expm1(v / 100)}
+    made = {"log1p": logarithm(F.log1p(v), v + 1), "root": F.sqrt(v), "magnitude": F.abs(v - 250), "sine": F.sin(v), "cosine": F.cos(v), "angle": F.atan2(v, F.lit(3.0)), "log": logarithm(F.log(v), v), "clipped": clip(v, 100.0, 300.0), "expm1": F.expm1(v / 100)}
     return rounded(t.events.select("event_id", F.floor(v).alias("whole"), *(c.alias(k) for k, c in made.items())), "event_id", "whole")
 
 
