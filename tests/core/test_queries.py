@@ -76,7 +76,7 @@ def corners(seed: int, users: int = 3000) -> pa.Table:
     return pa.table(dict(zip(["event_id", "ts", "user_id", "event_type", "value", "props"], map(list, zip(*rows, strict=True)), strict=True)))
 
 
-@pytest.mark.parametrize("name", ["sym_direction_bins", "sym_turn_bins"])
+@pytest.mark.parametrize("name", ["sym_direction_bins", "sym_turn_bins", "seq_curvature"])
 def test_turns_on_the_edges_of_sectors(spark, tmp_path, name):
     same(spark, tmp_path, name, {"events": corners(1)})
 
