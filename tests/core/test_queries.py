@@ -81,6 +81,10 @@ def test_turns_on_the_edges_of_sectors(spark, tmp_path, name):
     same(spark, tmp_path, name, {"events": corners(1)})
 
 
+def test_symbols_on_the_edges_of_sectors(spark, tmp_path):
+    same(spark, tmp_path, "session_symbols", {"events": corners(2, 600)})
+
+
 def test_angles_are_rounded_as_by_libm(spark):
     rng = random.Random(3)
     pairs = [(rng.uniform(-490, 490), float(rng.randint(-99, 99))) for _ in range(20_000)]
