@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 import xxhash
@@ -88,3 +89,19 @@ def test_keeps_columns_and_text(spark):
 
 def test_empty_table(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_first_jobs_shuffles_are_deleted(spark):
+    """Else they lie on disk beside those of the second."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    ids = lambda: {int(n.split("_")[1]) for n in (f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles())) if n.startswith("shuffle_")}
+    spark.range(9).repartition(3).count()
+    before = max(ids(), default=-1)
+    df = spark.createDataFrame([(i, f"{i} " + "the same passage, again and again. " * 9) for i in range(40)], "doc_id long, text string")
+    found = suffix_dedup.dedup(df)
+    for _ in range(40):
+        if not (left := {i for i in ids() if i > before}):
+            break
+        time.sleep(0.25)
+    assert not left
+    assert found.count() == 40

@@ -13,8 +13,10 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -74,6 +76,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def delete(spark: SparkSession, tables: list[str]) -> None:
     """Deletes working tables; results read from them must have been written before."""
     for table in tables:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trajecta.llm.hashing import Hasher, digests as digests_of, sliding_minimum
-from trajecta.llm.shared import long_id, map_arrow, materialise, slices
+from trajecta.llm.shared import long_id, map_arrow, materialise, release, slices
 
 LENGTH = 100
 Q = 32
@@ -468,6 +468,8 @@ def dedup(
     docs = prepared(df, id_col, text_col, keep)
     status = settle(make_contexts(docs.select("doc_id", "tag", "text"), length, q, block), length, bucket_limit, leave_open=True)
     found = materialise(to_documents(docs, status, length, keep_text), "suffix-documents")
+    del status
+    release(df.sparkSession)
     runs = refine(found.where("kind = 2").select("bucket", "doc_id", "tag", "pos", "text"), length, block).unionByName(
         settle(found.where("kind = 3").select(*NAMES), length, bucket_limit, leave_open=False)
     )
