@@ -102,6 +102,10 @@ def test_turns_where_libm_is_not_nearest(spark, tmp_path, name):
     same(spark, tmp_path, name, {"events": eighths(1)})
 
 
+def test_symbols_where_libm_is_not_nearest(spark, tmp_path):
+    same(spark, tmp_path, "session_symbols", {"events": eighths(2, 50)})
+
+
 def test_angles_are_rounded_as_by_libm(spark):
     rng = random.Random(3)
     pairs = [(rng.uniform(-490, 490), float(rng.randint(-99, 99))) for _ in range(20_000)]
