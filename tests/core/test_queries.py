@@ -102,6 +102,18 @@ def test_turns_where_libm_is_not_nearest(spark, tmp_path, name):
     same(spark, tmp_path, name, {"events": eighths(1)})
 
 
+#: x with two decimals, whose differences aren't exact: at each path's reversal or right angle Java's atan2, libm's or the nearest double differ in what they give.
+PATHS = [
+    [(23.98, 22), (15.6, 38), (19.79, 30)], [(568.45, 98), (598.1, 188), (509.15, -82)], [(333.85, 5), (299.75, 69), (402.05, -123)], [(396.36, 74), (419.01, 96), (351.06, 30)], [(470.43, 16), (446.83, 84), (494.03, -52)],
+    [(328.72, 93), (237.72, 137), (281.72, 228)], [(195.97, 43), (280.97, 3), (240.97, -82)], [(539.34, 3), (471.34, 82), (550.34, 150)], [(517.19, 75), (449.19, -4), (528.19, -72)], [(237.04, 21), (281.04, 112), (190.04, 156)],
+]
+
+
+def test_curvature_of_paths_with_decimals(spark, tmp_path):
+    rows = [(3 * user + k, datetime(2024, 1, 1) + timedelta(hours=k), user, "click", x, f'{{"k": {y}}}') for user, path in enumerate(PATHS) for k, (x, y) in enumerate(path)]
+    same(spark, tmp_path, "seq_curvature", {"events": pa.table(dict(zip(["event_id", "ts", "user_id", "event_type", "value", "props"], map(list, zip(*rows, strict=True)), strict=True)))})
+
+
 def test_symbols_where_libm_is_not_nearest(spark, tmp_path):
     same(spark, tmp_path, "session_symbols", {"events": eighths(2, 50)})
 
