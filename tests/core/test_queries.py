@@ -109,9 +109,18 @@ PATHS = [
 ]
 
 
+def decimals(height: int = 1) -> pa.Table:
+    """Users as in ``eighths``."""
+    rows = [(3 * user + k, datetime(2024, 1, 1) + timedelta(hours=k), 162 + 207 * user, "click", x, f'{{"k": {height * y}}}') for user, path in enumerate(PATHS) for k, (x, y) in enumerate(path)]
+    return pa.table(dict(zip(["event_id", "ts", "user_id", "event_type", "value", "props"], map(list, zip(*rows, strict=True)), strict=True)))
+
+
 def test_curvature_of_paths_with_decimals(spark, tmp_path):
-    rows = [(3 * user + k, datetime(2024, 1, 1) + timedelta(hours=k), user, "click", x, f'{{"k": {y}}}') for user, path in enumerate(PATHS) for k, (x, y) in enumerate(path)]
-    same(spark, tmp_path, "seq_curvature", {"events": pa.table(dict(zip(["event_id", "ts", "user_id", "event_type", "value", "props"], map(list, zip(*rows, strict=True)), strict=True)))})
+    same(spark, tmp_path, "seq_curvature", {"events": decimals()})
+
+
+def test_symbols_of_paths_with_decimals(spark, tmp_path):
+    same(spark, tmp_path, "session_symbols", {"events": decimals(50)})
 
 
 def test_symbols_where_libm_is_not_nearest(spark, tmp_path):
